@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from lattica.llm.decision_rules import op10_decision_rules
+from lattica.llm.line_chunks import op7_line_chunks
 from lattica.llm.packing import op2_packing
 from lattica.llm.pii import op6_pii
 from lattica.llm.simhash import op9_simhash
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_pii, op9_simhash, op10_decision_rules)}
+QUERIES = {f.__name__: f for f in (op2_packing, op6_pii, op7_line_chunks, op9_simhash, op10_decision_rules)}
 
 #: DuckDB SQL of those that SQL can express on whole tables.
 ORACLES: dict[str, str] = {}
