@@ -204,7 +204,7 @@ class Field:
             np.add.at(belief, u, back)
         nodes = np.exp(belief - _lse(belief, 1)[:, None])
         joint = (belief[u] - back)[:, :, None] + pair + (belief[v] - forth)[:, None, :]
-        flat = joint.reshape(len(edges), -1)
+        flat = joint.reshape(len(edges), len(LABELS) ** 2)
         return nodes, np.exp(flat - (_lse(flat, 1)[:, None] if len(flat) else 0)).reshape(joint.shape)
 
 
