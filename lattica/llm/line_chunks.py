@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.llm._common import table, written
 
@@ -122,6 +123,7 @@ def without(text: str, spans: list[dict]) -> str:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs with text and, if present, n_chars as they are without the repeated chunks; further column ``removed_lines``."""
+    docs = docs.drop("removed_lines")
     spans = removals(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     joined = docs.join(spans, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash")), "left").drop("_id", "_hash")
     names, kept = [*docs.columns, "removed_lines"], docs.schema
@@ -138,7 +140,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
             lines = pa.array([sum(x["end"] - x["start"] for x in s or []) for s in spans], pa.int64())
             yield pa.RecordBatch.from_arrays([*cols, lines], names)
 
-    return joined.mapInArrow(run, kept.add("removed_lines", "long") if "removed_lines" not in kept.names else kept)
+    return joined.mapInArrow(run, T.StructType([*kept.fields, T.StructField("removed_lines", T.LongType())]))
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,4 +151,5 @@ def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated chunks go from the texts; every document stays."""
-    return cleaned(docs).select(*docs.columns)
+    kept = cleaned(docs.withColumnRenamed("removed_lines", "_removed_lines"))
+    return kept.drop("removed_lines").withColumnRenamed("_removed_lines", "removed_lines").select(*docs.columns)
