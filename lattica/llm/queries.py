@@ -9,9 +9,10 @@ from lattica.llm.multi_index import op3_multi_index
 from lattica.llm.packing import op2_packing
 from lattica.llm.perspectives import op8_perspectives
 from lattica.llm.pii import op6_pii
+from lattica.llm.sentencepieces import op5_sentencepiece
 from lattica.llm.simhash import op9_simhash
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_multi_index, op6_pii, op7_line_chunks, op8_perspectives, op9_simhash, op10_decision_rules)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_multi_index, op5_sentencepiece, op6_pii, op7_line_chunks, op8_perspectives, op9_simhash, op10_decision_rules)}
 
 #: DuckDB SQL of those that SQL can express on whole tables.
 ORACLES: dict[str, str] = {"op8_perspectives": perspectives.ORACLE}
