@@ -1 +1,5 @@
+"""Sources and sinks."""
 
+from lattica.sources import csv, generators, sinks, tables
+
+__all__ = ["csv", "generators", "sinks", "tables"]
