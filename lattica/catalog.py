@@ -367,7 +367,7 @@ def date_arith(spark, d):
 
 @query("""SELECT event_id, CAST(hour(ts) AS INT) AS h, CAST(minute(ts) AS INT) AS mi, CAST(second(ts) AS INT) AS s, CAST(floor(epoch(ts)) AS BIGINT) AS secs, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hours,
 CAST(floor(epoch(ts) / 86400) AS BIGINT) AS days, date_trunc('month', ts)::TIMESTAMP AS mon, CAST(floor(epoch(ts)) AS BIGINT) - CAST(epoch(TIMESTAMP '2024-01-01') AS BIGINT) AS since,
-CAST(epoch_ms(ts) % 86400000 AS INT) AS tod, CAST(epoch_ms(ts) % 86400000 // 60000 AS INT) AS tod_minutes FROM events""")
+CAST(epoch_us(ts) % 86400000000 // 1000 AS INT) AS tod, CAST(epoch_us(ts) % 86400000000 // 60000000 AS INT) AS tod_minutes FROM events""")
 def datetime_trunc(spark, d):
     ts = F.col("ts")
     cols = {"h": dates.hour(ts), "mi": dates.minute(ts), "s": dates.second(ts), "secs": dates.as_seconds(ts), "hours": dates.as_hours(ts), "days": dates.as_days(ts), "mon": dates.by_month(ts), "since": dates.seconds_between(ts, day("2024-01-01")), "tod": dates.time_of(ts), "tod_minutes": dates.time_as(dates.time_of(ts), "minutes")}

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 
 _RULES = [
-    ("skip", r"\s+|//[^/\n][^\n]*(?:\n|$)|/\*.*?\*/"),
+    ("skip", r"\s+|/\*.*?\*/"),
     ("number", r"\d+\.\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|\d+(?:[eE][+-]?\d+)?L?"),
     ("string", r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'"),
     ("name", r"[A-Za-z_][A-Za-z_0-9]*(?:\.[A-Za-z_][A-Za-z_0-9]*)*"),

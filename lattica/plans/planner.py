@@ -246,7 +246,8 @@ class Planner:
 
     # processors
 
-    def functor(self, f: Functor) -> Functor:
+    def functor(self, f: Functor | str) -> Functor:
+        f = Functor("", f) if isinstance(f, str) else f
         return self.aliases.get(f.name, f) if not f.kind else f
 
     def on_process(self, s: Statement) -> None:

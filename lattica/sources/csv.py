@@ -58,7 +58,7 @@ def read_csv(
         options = {"sep": sep, "quote": quote, "escape": escape, "emptyValue": "", "nullValue": "\u0000", "mode": "PERMISSIVE"}
         raw = T.StructType([T.StructField(c, T.StringType()) for c in names])
         rows = rows.withColumn("__row", F.from_csv("__line", raw.simpleString()[7:-1].replace(":", " "), options))
-        fields = [F.col("__row")[c] for c in names]
+        fields = [F.coalesce(F.col("__row")[c], F.lit("")) for c in names]  # an empty field is the empty text
     out = []
     for (name, kind), f in zip(columns, fields, strict=True):
         f = F.when(f != nulls[name], f) if name in nulls else f

@@ -36,15 +36,16 @@ class Spread:
         if len(self.parameters) != len(DISTRIBUTIONS.get(self.name, ())) or self.name not in DISTRIBUTIONS:
             raise ValueError(f"unknown distribution or parameters: {self.name}{self.parameters}")
 
-    def column(self, seed: int) -> Column:
+    def column(self, z: Column, u: Column) -> Column:
+        """A value from a normal draw z and a uniform draw u, which must be columns of their own."""
         a = self.parameters
         if self.name == "uniform":
-            return a[0] + F.rand(seed) * (a[1] - a[0])
+            return a[0] + u * (a[1] - a[0])
         if self.name in ("normal", "gaussian"):
-            return a[0] + F.randn(seed) * a[1]
+            return a[0] + z * a[1]
         if self.name == "exponential":
-            return -F.log(1 - F.rand(seed)) / a[0]
-        return inverse_gaussian(a[0], a[1], seed)
+            return -F.log(1 - u) / a[0]
+        return inverse_gaussian(a[0], a[1], z, u)
 
     def sample(self, rng: np.random.Generator, n: int) -> np.ndarray:
         a = self.parameters
@@ -61,11 +62,11 @@ class Spread:
         return draw[self.name]()
 
 
-def inverse_gaussian(mean: float, shape: float, seed: int) -> Column:
+def inverse_gaussian(mean: float, shape: float, z: Column, u: Column) -> Column:
     """Transformation with multiple roots: the smaller root of a chi-square draw, or its counterpart."""
-    y = F.pow(F.randn(seed), 2)
+    y = z * z
     root = mean + mean * mean * y / (2 * shape) - mean / (2 * shape) * F.sqrt(4 * mean * shape * y + mean * mean * y * y)
-    return F.when(F.rand(seed + 1) <= mean / (mean + root), root).otherwise(mean * mean / root)
+    return F.when(u <= mean / (mean + root), root).otherwise(mean * mean / root)
 
 
 def clusters(spark: SparkSession, n: int, centers: list[list[Spread]], names: list[str], seed: int = 0, tasks: int | None = None, with_center: str | None = None) -> DataFrame:
@@ -78,13 +79,16 @@ def clusters(spark: SparkSession, n: int, centers: list[list[Spread]], names: li
     tasks = tasks or 1
     rows = spark.range(0, n * tasks, 1, tasks).withColumn("__c", F.floor(F.rand(seed) * len(centers)).cast("int"))
     if all(s.name in _NATIVE for c in centers for s in c):
+        # draws are columns of their own: inside a condition, a generator would fall out of step
+        drawn = rows.withColumns({f"__{k}{j}": f(seed + 7919 * j + i + 1) for j in range(len(names)) for i, (k, f) in enumerate((("z", F.randn), ("u", F.rand)))})
         cols = {}
         for j, name in enumerate(names):
-            value = centers[-1][j].column(seed + 7919 * j + 13 * len(centers))
+            own = [c[j].column(F.col(f"__z{j}"), F.col(f"__u{j}")) for c in centers]
+            value = own[-1]
             for i in range(len(centers) - 2, -1, -1):
-                value = F.when(F.col("__c") == i, centers[i][j].column(seed + 7919 * j + 13 * (i + 1))).otherwise(value)
+                value = F.when(F.col("__c") == i, own[i]).otherwise(value)
             cols[name] = value
-        out = rows.withColumns(cols)
+        out = drawn.withColumns(cols)
     else:
 
         def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

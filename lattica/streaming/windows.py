@@ -13,7 +13,8 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 
 def _grouped(df: DataFrame, time: str, delay: str, window: Column, keys: list[str], values: dict[str, Column]) -> DataFrame:
-    own = df.withWatermark(time, delay) if df.isStreaming else df
+    own = df.withColumn(time, F.col(time).cast("timestamp"))  # watermarks take no timestamps without a zone
+    own = own.withWatermark(time, delay) if df.isStreaming else own
     out = own.groupBy(window.alias("w"), *keys).agg(*[c.alias(n) for n, c in values.items()])
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *values)
 
