@@ -5,8 +5,8 @@ chain, repeated or similar tokens of a document (same core, same local part of a
 potentials, and loopy message passing makes their labels agree. Tokens outside base spans that come out as personal
 with a marginal of ``THRESHOLD`` or more add spans; base spans always stay.
 
-The field is trained here, on weak labels: base spans of a bounded, hash-chosen sample of documents (``max_train``),
-where the evidence of half of the labelled tokens is hidden so that shape and repetition have to explain them.
+The field is trained here, on weak labels: base spans of a bounded, hash-chosen sample of documents (``max_train``), which
+similar tokens of the same document inherit, where the evidence of half of the labelled tokens is hidden so that shape and repetition have to explain them.
 
 Defined cases: a null or empty text has no spans and the digest of the empty string; rows without doc_id and repeated
 rows are treated like any others; further columns are ignored; an empty table, or one without personal data, leaves
@@ -184,7 +184,7 @@ class Field:
         unary[0, 0] = 2.0
         for k in range(len(KINDS)):
             unary[FEATURES.index(f"base_{KINDS[k]}"), k + 1] = 6.0
-        return cls(unary, np.zeros((n, n)), 2.0 * np.eye(n))
+        return cls(unary, np.zeros((n, n)), 4.0 * np.eye(n))
 
     def infer(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of nodes and of edges (chain edges first) by damped loopy message passing."""
@@ -208,6 +208,12 @@ class Field:
         return nodes, np.exp(flat - (_lse(flat, 1)[:, None] if len(flat) else 0)).reshape(joint.shape)
 
 
+def _gold(doc: list[Token]) -> list[int]:
+    """Weak labels: those of the patterns, also for tokens similar to one that a pattern found in the same document."""
+    of = {k: t.base for t in reversed(doc) if t.base for k in t.keys}
+    return [t.base or next((of[k] for k in t.keys if k in of), 0) for t in doc]
+
+
 def train(docs: list[list[Token]], steps: int = 150, rate: float = 2.0, pull: float = 0.02, seed: int = 7) -> Field:
     """Gradient ascent on the approximate likelihood, with a pull towards the prior."""
     field, prior = Field.prior(), Field.prior()
@@ -217,7 +223,7 @@ def train(docs: list[list[Token]], steps: int = 150, rate: float = 2.0, pull: fl
     toks = [t for d in docs for t in d]
     shown = np.random.default_rng(seed).random(len(toks)) < 0.5
     x = np.array([features(t, bool(e)) for t, e in zip(toks, shown, strict=True)], float)
-    gold = np.eye(len(LABELS))[[t.base for t in toks]]
+    gold = np.eye(len(LABELS))[[x for d in docs for x in _gold(d)]]
     chain, skip = graph(docs)
     edges, nc = np.concatenate([chain, skip]), len(chain)
     seen = gold[edges[:, 0]][:, :, None] * gold[edges[:, 1]][:, None, :]
