@@ -35,7 +35,7 @@ def test_perspectives_cases(spark):
     assert text == "<|system|>\nrules<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|user name=unknown|>\nwho<|end|>\n"
     assert [text[r.char_start :].startswith(r.segment) for r in ann] == [True] * 4
     assert [r.trained for r in ann] == [False, True, False, False]
-    assert sorted(r.char_start for r in out if r.conv_id is None) == [0, 24]
+    assert sorted(r.char_start for r in out if r.conv_id is None) == [0, 23]
     assert perspectives.rotated(df.limit(0)).count() == 0
 
 
