@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from lattica.llm._common import table, written
 
 WINDOW, PIECE, END_ID = 1024, 256, 0
 #: Tokens of a shard (8 MB of ids), and parts that a worker remembers.
-SHARD_TOKENS, REMEMBERED = 4_000_000, 400_000
+SHARD_TOKENS, REMEMBERED = 4_000_000, 1_000_000
+MARKS = tuple(".,;:!?")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -69,15 +71,26 @@ class PartEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of unsigned numbers."""
         cut = [self.parts(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known)) if cut else []
+        new = set().union(*cut).difference(self.known) if cut else set()
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(set().union(*cut))
-        for at in range(0, len(new), 4096):
-            for part, found in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False), strict=True):
-                self.known[part] = np.array(found.ids, self.dtype).tobytes()
+            self.known, new = {}, set().union(*cut)
+        # a mark after a letter is a token run of its own at a part's end, so that the word alone need be encoded
+        marked = [p for p in new if p[-1:] in MARKS and p[-2:-1].isalpha()]
+        plain = new.difference(marked).union([p[:-1] for p in marked], [p[-1] for p in marked]).difference(self.known)
+        self._learn(list(plain))
+        for p in marked:
+            self.known[p] = self.known[p[:-1]] + self.known[p[-1]]
         return [b"".join(map(self.known.__getitem__, x)) for x in cut]
 
 
+    def _learn(self, parts: list[str]) -> None:
+        code = "H" if self.dtype is np.uint16 else "I"
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[part] = array(code, found.ids).tobytes()
+
+
 _encoders: dict[str, PartEncoder] = {}
 
 
