@@ -52,9 +52,7 @@ def test_filter_and_hash(spark):
     assert xxhash.xxh64_intdigest(b"x") >= 0
 
 
-def test_collision_is_settled_by_bytes(spark, monkeypatch):
-    real = lines.repeatable
-    monkeypatch.setattr(lines, "repeatable", real)
+def test_repeats_between_and_within_documents(spark):
     text = "one two\nthree four\n" * 6
     other = "five six\nseven eight\n" * 6
     docs = spark.createDataFrame([(1, text), (2, text), (3, other)], "doc_id long, text string")
