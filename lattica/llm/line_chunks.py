@@ -102,7 +102,8 @@ def removals(docs: DataFrame) -> DataFrame:
     found = own.mapInArrow(texts, "doc_id long, text_hash long, start long, end long, h long, nth long, chunk string")
     held = written(found.join(again, "h", "left_semi"), "chunks")
     # equal hash and equal bytes: one class; the hash keeps the comparison of the long strings rare
-    classes = held.groupBy("h", "chunk").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
+    # written, so that the join below has plain exchanges on both sides and Spark can split a chunk that very many hold
+    classes = written(held.groupBy("h", "chunk").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null"), "classes")
     later = held.join(classes, ["h", "chunk"]).filter("doc_id <> first or nth > 0")
     return later.select("doc_id", "text_hash", "start", "end").distinct()
 
