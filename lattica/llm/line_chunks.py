@@ -71,10 +71,9 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """2**bits bits, of which those of the hashes are set; gathered as at most 2**(bits - 6) words."""
     at = F.shiftrightunsigned("h", 64 - bits)
-    rows = hashes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, %d) & 63 as int))" % (64 - bits))).alias("v")).collect()
+    rows = hashes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, %d) & 63 as int))" % (64 - bits))).alias("v")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
-    for r in rows:
-        out[r.w] = r.v
+    out[rows["w"].to_numpy()] = rows["v"].to_numpy()
     return out
 
 
