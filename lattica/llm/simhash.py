@@ -4,8 +4,9 @@ Fingerprints within ``RADIUS`` bits are linked. Their 64 bits are cut into six p
 bits agree on at least two pieces whole, so each fingerprint goes into the 15 buckets of its pairs of pieces and no
 link is lost. Rows of a bucket are compared by bit planes: bit b of all fingerprints of a block stands in one packed
 vector, differences are added into carry-save counters, and rows stop as soon as all of their counters exceed the
-radius. A bucket with more than ``LARGEST`` different fingerprints is dealt again by pairs of pieces of its remaining
-bits, which again loses nothing; the masks gain bits each time, so that this ends. Equal fingerprints are one node, and
+radius. A bucket with more than ``LARGEST`` different fingerprints is dealt again by single ones of five pieces of its
+remaining bits, one of which four flips leave whole, so that again nothing is lost; the masks gain bits each time, and
+a bucket with 12 bits left can't be too large any more. Equal fingerprints are one node, and
 a block returns a spanning forest, never all pairs.
 
 Defined cases: null or blank texts have fingerprint zero and link like any other; rows with a null doc_id get their
@@ -194,7 +195,7 @@ def links(fps: DataFrame) -> DataFrame:
     while True:
         more = spark.createDataFrame([(k, v) for k, v in masks.items()], "parent long, masks array<long>") if len(masks) > 1 else None
         options = F.array(*[F.lit(m).cast("long") for m in masks[0]]) if more is None else F.col("masks")
-        rows = rows if more is None else rows.join(F.broadcast(more), "parent")  # a row for each mask of this round: at most 15 to the power of the round
+        rows = rows if more is None else rows.join(F.broadcast(more), "parent")  # a row for each mask of the round before: at most 15 * 5**(round - 1)
         dealt = rows.select(F.explode(options).alias("mask"), "fp").select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
         dealt = dealt.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
         out = written(dealt.mapInArrow(_compare, "mask long, a long, b long"), "links")
@@ -203,7 +204,7 @@ def links(fps: DataFrame) -> DataFrame:
         if rest.isEmpty():
             return found
         used = [r[0] for r in rest.select("mask").distinct().collect()]
-        masks = {m: [_signed((m % (1 << 64)) | s) for s in pieces_masks([b for b in range(64) if not m >> b & 1])] for m in used}
+        masks = {m: [_signed((m % (1 << 64)) | s) for s in pieces_masks([b for b in range(64) if not m >> b & 1], RADIUS + 1, 1)] for m in used}
         masks.setdefault(0, [])
         rows = rest.select(F.col("mask").alias("parent"), F.col("a").alias("fp")).distinct()
 
@@ -213,8 +214,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = written(fingerprints(docs), "fingerprints")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # both written, so that the joins have plain exchanges on both sides and Spark can split a large component
+    rooted = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return own.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
 
 
