@@ -51,6 +51,8 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a byte-level vocabulary spells each byte as one character
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}
         self.blank = re.compile(r"\s ")
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
@@ -84,9 +86,24 @@ class PartEncoder:
 
 
     def _learn(self, parts: list[str]) -> None:
-        code = "H" if self.dtype is np.uint16 else "I"
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
+        """Encode parts, most of them many to a text: tokens end where parts do, so that byte lengths tell them apart."""
+        code, width = ("H", 2) if self.dtype is np.uint16 else ("I", 4)
+        fit = [p for p in parts if p[0] == " " and not p[-1].isspace()] if "" not in parts else []
+        alone = list(set(parts).difference(fit))
+        groups = [fit[at : at + 256] for at in range(0, len(fit), 256)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids)
+            ends, sizes = np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in group])
+            cut = np.searchsorted(ends, sizes) + 1
+            if cut[-1] > len(ids) or (ends[cut - 1] != sizes).any():
+                alone += group
+                continue
+            raw, start = ids.astype(self.dtype).tobytes(), 0
+            for part, end in zip(group, (cut * width).tolist(), strict=True):
+                self.known[part] = raw[start:end]
+                start = end
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
             for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[part] = array(code, found.ids).tobytes()
 
