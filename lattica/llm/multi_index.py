@@ -17,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,6 +109,20 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
+def fitted(sample: DataFrame) -> Codes:
+    """Codes from a sample, fitted in one task: workers run linear algebra on one thread, and no vector is collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [_matrix(pa.chunked_array([b.column(0)])) for b in batches if b.num_rows]
+        if got:
+            codes = Codes.fit(np.concatenate(got))
+            yield pa.RecordBatch.from_arrays([pa.array([m.astype(float).tobytes()], pa.binary()) for m in (codes.mean, codes.rotation)], ["mean", "rotation"])
+
+    row = sample.repartition(1).mapInArrow(run, "mean binary, rotation binary").first()
+    mean = np.frombuffer(bytes(row.mean))
+    return Codes(mean, np.frombuffer(bytes(row.rotation)).reshape(len(mean), -1))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for rows and queries of (vec_id, embedding)."""
     spark = rows.sparkSession
@@ -124,8 +139,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPL
     dim, n = sizes[0].d, sizes[0]["count"]
     base = base.filter(F.size("v") == dim)
     asked = usable(queries).filter(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
-    some = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    codes = Codes.fit(np.array([r.v for r in some]))
+    codes = fitted(base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v"))
     n_rows, n_queries = -(-n // row_block), max(1, -(-asked.count() // query_block))
     # each row meets each block of queries once, and each query each block of rows
     dealt = base.withColumn("a", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
