@@ -212,6 +212,19 @@ def test_passages(spark):
     assert near.start <= 2 and near.end >= 76 and 0.85 < near.identity < 1
 
 
+@pytest.mark.parametrize("copies", [1, 12])
+def test_passages_of_parts_that_are_common_elsewhere(spark, copies):
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"w{v}" for v in rng.integers(0, 10**6, n)]
+    parts = [words(20) for _ in range(3)]
+    alone = lambda: [words(30) + p + words(30) for p in parts for _ in range(copies)]
+    both = [words(25) + sum(parts, []) + words(25), words(70) + sum(parts, []) + words(5)]
+    texts = alone() + both + alone()
+    found = chains.passages(make_docs(spark, [" ".join(t) for t in texts])).collect()
+    b = 3 * copies
+    assert {(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end) for r in found} == {(b + 1, b, 70, 130, 25, 85)}
+
+
 def test_all_shared_windows_are_connected(spark, small):
     docs = {r.doc_id: r.text.lower().split() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     where = {}
