@@ -1,7 +1,9 @@
 """Removal of repeated multi-line chunks with content-defined boundaries.
 
 A rolling hash runs over the hashes of a document's lines; a chunk ends after a line whose window hash falls into a
-fixed residue class. Boundaries depend on nearby lines only, so that an inserted or lost line shifts no later chunk.
+fixed residue class, unless fewer than ``MIN_LINES`` lines with words would stand in the chunk or be left after it.
+Only lines in that class right after one another depend on where the last chunk ended; boundaries meet again at the
+next line outside it, so that an inserted or lost line shifts no later chunk.
 Chunks with ``MIN_LINES`` lines or more that hold words are counted over the whole corpus by hash; the texts of chunks
 whose hash repeats are then compared byte for byte, and all but the first occurrence (smallest doc_id, then smallest
 position) are removed.
@@ -36,6 +38,8 @@ _OUT = pow(_BASE, WINDOW, 1 << 64)
 def chunks(lines: list[str]) -> list[tuple[int, int, int]]:
     """(first line, line after the last, hash) of each chunk."""
     out, start, roll, whole = [], 0, 0, xxhash.xxh64(seed=1)
+    worded = [bool(x.strip(" \t\n\x0b\f\r")) for x in lines]
+    held, left = 0, sum(worded)
     last: list[int] = [0] * WINDOW
     for i, line in enumerate(lines):
         b = line.encode("utf-8", "surrogatepass")
@@ -44,9 +48,10 @@ def chunks(lines: list[str]) -> list[tuple[int, int, int]]:
         last[i % WINDOW] = h
         whole.update(b)
         whole.update(b"\n")
-        if (roll >> 32) % ONE_IN == 0 or i + 1 == len(lines):
+        held, left = held + worded[i], left - worded[i]
+        if ((roll >> 32) % ONE_IN == 0 and held >= MIN_LINES and (left >= MIN_LINES or not left)) or i + 1 == len(lines):
             out.append((start, i + 1, whole.intdigest()))
-            start, whole = i + 1, xxhash.xxh64(seed=1)
+            start, whole, held = i + 1, xxhash.xxh64(seed=1), 0
     return out
 
 

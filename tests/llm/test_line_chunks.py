@@ -33,6 +33,24 @@ def test_boundaries_resist_shifts():
     assert [x for a, b, _ in lines.chunks(own) for x in own[a:b]] == own
 
 
+def test_no_line_of_a_chunk_stands_alone():
+    rng = random.Random(3)
+    own = [f"line {rng.random()}" for _ in range(400)]
+    assert all(b - a >= lines.MIN_LINES for a, b, _ in lines.chunks(own))
+    blank = [x for line in own for x in (line, " ")]
+    assert sum(b - a for a, b, _, _ in lines.repeatable("\n".join(blank))) >= len(blank) - 1
+
+
+def test_a_long_repeated_run_goes_but_for_its_ends(spark):
+    rng = random.Random(4)
+    own = [f"line {rng.random()}" for _ in range(300)]
+    docs = [(1, "\n".join(["first", *own, "end"])), (2, "\n".join(["other a", "other b", *own, "other c", "other d"])), (3, "\n".join(own))]
+    got = {r.doc_id: r.text for r in lines.cleaned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == docs[0][1]
+    for doc in (2, 3):
+        assert len(set(got[doc].split("\n")) & set(own)) <= 12
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
