@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
-The patterns give base spans. The field labels tokens that hold a digit or an at sign: neighbours are joined in a
-chain, repeated or similar tokens of a document (same core, same local part of an address, same digits) share skip
+The patterns give base spans. The field labels tokens that hold a digit or an at sign, or share a key with a base span
+of their document: neighbours are joined in a chain, repeated or similar tokens of a document (same core, same local part of an address, same digits) share skip
 potentials, and loopy message passing makes their labels agree. Tokens outside base spans that come out as personal
 with a marginal of ``THRESHOLD`` or more add spans; base spans always stay.
 
@@ -95,26 +95,33 @@ class Token:
 
 
 def tokens(text: str, spans: list[Span]) -> list[Token]:
-    """Tokens with a digit or an at sign, and those that repeat the local part of an address."""
+    """Tokens with a digit or an at sign, and those that share a key with a base span, such as an address's local part."""
     out: list[Token] = []
     if not _CLUE.search(text):
         return out
     word, at, s = 0, 0, 0
+    known = _span_keys(text, spans)
     for m in _SPACE.finditer(text + " "):
-        if m.start() > at and _CLUE.search(text, at, m.start()):
+        if m.start() > at and ((clue := _CLUE.search(text, at, m.start())) or known):
             core = text[at : m.start()]
             a = at + len(core) - len(core.lstrip(_EDGE))
             core = core.strip(_EDGE)
             b = a + len(core)
-            if core:
+            if core and (clue or not known.isdisjoint(_keys(core))):
                 while s < len(spans) and spans[s][2] <= a:
                     s += 1
                 hit = next((k for x, k, y in spans[s : s + 4] if x < b and y > a), None)
-                out.append(Token(a, b, word, core, _keys(core), 0 if hit is None else hit + 1))
+                keys = _keys(core) + [k for x, _, y in spans[s : s + 4] if x < b and y > a for k in _keys(text[x:y].strip(_EDGE))]
+                out.append(Token(a, b, word, core, list(dict.fromkeys(keys)), 0 if hit is None else hit + 1))
         word, at = word + 1, m.end()
     return out
 
 
+def _span_keys(text: str, spans: list[Span]) -> set[str]:
+    """Keys of the base spans that a token without a digit or an at sign may share."""
+    return {k for a, _, b in spans for k in _keys(text[a:b].strip(_EDGE)) if not _CLUE.search(k)}
+
+
 def _keys(core: str) -> list[str]:
     """What similar tokens share: the folded core, the local part of an address, seven digits or more."""
     folded, digits = core.casefold(), "".join(c for c in core if "0" <= c <= "9")
@@ -266,12 +273,12 @@ def fit(docs: DataFrame, max_train: int = 20_000) -> Field:
         for b in batches:
             for doc, text in zip(b.column(0), b.column(1), strict=True):
                 toks = tokens(t := text.as_py(), base_spans(t))
-                yield pa.RecordBatch.from_pydict({"doc_id": [doc.as_py()] * len(toks), "word": [x.word for x in toks], "core": [x.core for x in toks], "base": [x.base for x in toks]}, pa.schema([("doc_id", pa.int64()), ("word", pa.int64()), ("core", pa.string()), ("base", pa.int64())]))
+                yield pa.RecordBatch.from_pydict({"doc_id": [doc.as_py()] * len(toks), "word": [x.word for x in toks], "core": [x.core for x in toks], "keys": [x.keys for x in toks], "base": [x.base for x in toks]}, pa.schema([("doc_id", pa.int64()), ("word", pa.int64()), ("core", pa.string()), ("keys", pa.list_(pa.string())), ("base", pa.int64())]))
 
-    rows = texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, word long, core string, base long").orderBy(F.xxhash64("doc_id"), "doc_id", "word").limit(max_train).collect()
+    rows = texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, word long, core string, keys array<string>, base long").orderBy(F.xxhash64("doc_id"), "doc_id", "word").limit(max_train).collect()
     by_doc: dict[int, list[Token]] = {}
     for r in rows:
-        by_doc.setdefault(r.doc_id, []).append(Token(0, 0, r.word, r.core, _keys(r.core), r.base))
+        by_doc.setdefault(r.doc_id, []).append(Token(0, 0, r.word, r.core, r.keys, r.base))
     return train(list(by_doc.values()))
 
 

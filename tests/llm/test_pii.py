@@ -62,6 +62,17 @@ def test_repeats_are_labelled_alike():
     assert all(not text[a:b].startswith("carl") for a, _, b in every)
 
 
+def test_repeats_without_a_digit_are_labelled():
+    lines = [f"write to anna.{i}@mail{i}.example.com now, anna.{i} said {i + 11} times" for i in range(60)]
+    field = pii.train([pii.tokens(t, pii.base_spans(t)) for t in lines])
+    for address in ("maria.lopez@example.com", "<mailto:maria.lopez@example.com>"):
+        text = f"mail {address} today. " + "filler words here " * 40 + "then Maria.Lopez came, and carla.ruiz too"
+        base, every = pii.analysed([text], field)[0]
+        at = text.rindex("Maria.Lopez")
+        assert [x for x in every if x not in base] == [(at, 0, at + 11)]
+        assert len(pii.tokens(text, base)) == 2
+
+
 def test_query(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in pii.op6_pii(spark, small).collect():
