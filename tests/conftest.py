@@ -1,4 +1,4 @@
-"""One session for all tests, and literal tables."""
+"""One session for all tests."""
 
 from __future__ import annotations
 
@@ -33,8 +33,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def small() -> str:
     return "/root/testdata/sf0.001"
-
-
-def rows(df) -> list[tuple]:
-    """All rows as sorted tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows
+from literal_rows import rows
 from pyspark.sql import functions as F
 
 from lattica.plans import Planner, parse, run

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import rows
+from literal_rows import rows
 from pyspark.sql import functions as F
 
 from lattica.functions import arrays, categories, dates, maths, network, text
