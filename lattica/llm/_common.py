@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows, and bytes of texts, that a worker holds as Python objects at once; a longer text is held alone.
+ROWS, BYTES = 256, 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into pieces of few rows and few bytes in the column ``text``."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, "right"))))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

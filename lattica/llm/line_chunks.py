@@ -12,8 +12,8 @@ Only hashes are gathered from all chunks. A bit filter of a fixed size (8 MB) le
 through; its false hits cost a little traffic and change nothing.
 
 Defined cases: null texts stay null and empty ones empty; rows that bear one doc_id are one document, so that repeated
-rows are treated alike; rows without doc_id count as occurrences but are left as they are; blank lines belong to chunks but don't count towards ``MIN_LINES``; an empty table stays
-empty; further columns pass through.
+rows are treated alike; rows without doc_id count as occurrences but are left as they are; blank lines belong to chunks
+but don't count towards ``MIN_LINES``; an empty table stays empty; further columns pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm._common import table, written
+from lattica.llm._common import slices, table, written
 
 WINDOW, ONE_IN, MIN_LINES = 2, 2, 2
 FILTER_BITS = 26
@@ -69,7 +69,7 @@ def repeatable(text: str | None) -> list[tuple[int, int, int, str]]:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, "text"):
         yield pa.RecordBatch.from_arrays([pa.array([h for t in b.column(0) for _, _, h, _ in repeatable(t.as_py())], pa.int64())], ["h"])
 
 
@@ -91,16 +91,20 @@ def removals(docs: DataFrame) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, names = bits.value, ["doc_id", "text_hash", "start", "end", "h", "nth", "chunk"]
-        for b in batches:
+        for b in slices(batches, "text"):
             rows = []
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen: dict[str, int] = {}
-                for start, end, h, chunk in repeatable(text.as_py()):
+                whole = None
+                for start, end, h, chunk in repeatable(text):
                     at = (h & _MASK) >> (64 - FILTER_BITS)
                     if int(words[at >> 6]) >> (at & 63) & 1:
-                        rows.append((doc.as_py(), own_hash(text.as_py()), start, end, h, nth := seen.get(chunk, 0), chunk))
+                        whole = own_hash(text) if whole is None else whole
+                        rows.append((doc, whole, start, end, h, nth := seen.get(chunk, 0), chunk))
                         seen[chunk] = nth + 1
-            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+            if not rows:
+                continue
+            cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 6 else pa.int64()) for k, c in enumerate(cols)], names)
 
     found = own.mapInArrow(texts, "doc_id long, text_hash long, start long, end long, h long, nth long, chunk string")
@@ -134,7 +138,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     names, kept = [*docs.columns, "removed_lines"], docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             spans = b.column(b.num_columns - 1).to_pylist()
             cols, k = b.columns[:-1], b.schema.get_field_index("text")
             new = [t if not s else without(t, s) for t, s in zip(cols[k].to_pylist(), spans, strict=True)]
