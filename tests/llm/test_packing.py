@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import zlib
 
 import numpy as np
@@ -82,3 +84,18 @@ def test_defined_cases(spark, awkward, empty):
         place += p.length
     assert sum(p.start == 0 for p in pieces) == awkward.count()
     assert [p.length for p in pieces if p.doc_id == 2] == [1]
+
+
+def test_parts_give_the_tokenizers_ids():
+    enc = packing.PartEncoder(packing.default_tokenizer())
+    rng = random.Random(1)
+    bits = ["a", "Z", "é", "ñ", "1", ".", " ", " ", "  ", "\n", "\n", "\n\n", "\t", "'s", "'ll", "'", "###", "<|endoftext|>", "<|", "|>", "endoftext", "_", "́", " ", "　", "😀", "中", "\x1c", "\r\n", "½", "٣", "the", "\x85", " ", "!", "​"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(5000)]
+    want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, enc.dtype).tolist() for at in range(0, len(texts), 100) for x in enc.encode(texts[at : at + 100])]
+    assert got == want
+
+
+def test_null_source_has_its_own_queue(spark):
+    docs = spark.createDataFrame([(1, "a b", None), (2, "c d", ""), (3, "e f", "=")], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.source) for r in packing.pack(docs).collect()} == {(1, None), (2, ""), (3, "=")}
