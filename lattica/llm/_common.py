@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = ROWS, size:
             at = to
 
 
+def library_threads() -> None:
+    """In a worker: as many threads of the tokenizers library as the task has cores, as its idle ones spin."""
+    cores = TaskContext.get().cpus()
+    os.environ |= {"RAYON_NUM_THREADS": str(cores), "TOKENIZERS_PARALLELISM": "true" if cores > 1 else "false"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

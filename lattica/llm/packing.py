@@ -4,15 +4,16 @@ Every source is a queue of documents. A window (one sequence) adds ``share * tok
 source with the largest deficit gives the next piece, at least ``piece`` tokens unless its document or the window ends
 first, and pays for it. What a window leaves over or short is carried to the next.
 
-The corpus is dealt into shards by a hash of each row and its place in the table's partitions. A shard's opening deficits and its place in the global token stream follow
-from the token totals of the shards before it, so that shards are packed independently and yet continue each other:
+The corpus is dealt into shards by a hash of each row and its place in the table's partitions. A shard's opening
+deficits and its place in the global token stream follow from the token totals of the shards before it, so that shards
+are packed independently and yet continue each other:
 a sequence may begin in one shard and end in the next, positions have no gaps, and only the last sequence is padded.
 
 Defined cases: null or empty texts are documents of the end id alone; a null source is a source of its own; rows
 without doc_id and repeated rows are packed like any others; an empty table gives no pieces; further columns are
 ignored. Ids of a text are those of the tokenizers library for the whole text: texts are cut only before a space that
-follows a non-space, at lone line ends and before the symbols at a word's end, where the pre-tokenizer always cuts, and
-each part is encoded once and remembered.
+follows a non-space and before a mark at a word's end, where the pre-tokenizer always cuts, and each part is encoded
+once and remembered.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -30,11 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm._common import slices, table, written
+from lattica.llm._common import library_threads, slices, table, written
 
 WINDOW, PIECE, END_ID = 1024, 256, 0
 #: Tokens of a shard (8 MB of ids), and characters of the parts that a worker remembers.
 SHARD_TOKENS, REMEMBERED = 4_000_000, 12_000_000
+MARKS = tuple(".,;:!?")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -55,11 +56,8 @@ class PartEncoder:
         # a byte-level vocabulary spells each byte as one character
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.held = 0
         self.blank = re.compile(r"\s ")
-        # a line end that is not alone between two visible characters may share a token with its neighbour
-        self.lone = re.compile(r"(?:^|\s)\n|\n(?:\s|\Z)|[^\S\n ]")
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
     def parts(self, text: str) -> list[str]:
@@ -78,58 +76,37 @@ class PartEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of unsigned numbers."""
         cut = [self.parts(t) for t in texts]
-        found = [list(map(self.known.get, x)) for x in cut]
-        lacking = [k for k, x in enumerate(found) if None in x]
-        new = {p for k in lacking for p, x in zip(cut[k], found[k], strict=True) if x is None}
-        if new:
-            if self.held + sum(map(len, new)) > REMEMBERED:
-                self.known, self.held = {}, 0
-                new, lacking = set().union(*cut), range(len(cut))
-            self.held += sum(map(len, new))
-            self._learn_new(new)
-            for k in lacking:
-                found[k] = list(map(self.known.__getitem__, cut[k]))
-        return [b"".join(x) for x in found]
-
-    def _learn_new(self, new: set[str]) -> None:
-        """Learn parts from their pieces: lines, words, and the symbols at a word's end, which never share a token."""
-        made: dict[str, list[str]] = {}
-        for p in new:
-            if "\n" in p:
-                lines = [p] if self.lone.search(p) else p.split("\n")
-            elif p[-1:].isalnum():
-                continue
-            else:
-                lines = [p]
-            pieces: list[str] = []
-            for k, line in enumerate(lines):
-                if k:
-                    pieces.append("\n")
-                word = line.rstrip(punctuation)
-                pieces += [word, line[len(word) :]] if len(word) < len(line) and word[-1:].isalpha() else [line]
-            if len(pieces) > 1 and not self.added.search(p):
-                made[p] = pieces
-        plain = new.difference(made).union(*made.values()).difference(self.known)
+        new = set().union(*cut).difference(self.known) if cut else set()
+        size = sum(map(len, new))
+        if self.held + size > REMEMBERED:
+            self.known, self.held, new = {}, 0, set().union(*cut)
+            size = sum(map(len, new))
+        self.held += size
+        # a mark after a letter is a token run of its own at a part's end, so that the word alone need be encoded
+        marked = [p for p in new if p[-1:] in MARKS and p[-2:-1].isalpha()]
+        plain = new.difference(marked).union([p[:-1] for p in marked], [p[-1] for p in marked]).difference(self.known)
         self._learn(list(plain))
-        for p, pieces in made.items():
-            self.known[p] = b"".join([self.known[x] for x in pieces])
+        for p in marked:
+            self.known[p] = self.known[p[:-1]] + self.known[p[-1]]
+        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
 
     def _learn(self, parts: list[str]) -> None:
         """Encode parts, most of them many to a text: tokens end where parts do, so that byte lengths tell them apart."""
-        visible = [p for p in parts if p.isprintable() and p.rfind(" ") < 1 and p.strip(" ")]
-        alone = list(set(parts).difference(visible))
-        for group, gap in ((g, gap) for gap in ("", "\n") for every in [[p for p in visible if (p[0] == " ") == (not gap)]] for g in (every[at : at + 256] for at in range(0, len(every), 256))):
-            ids = np.array(self.tokenizer.encode_batch_fast([gap.join(group)], add_special_tokens=False)[0].ids)
-            ends, sizes = np.cumsum(self.lengths[ids]), np.array([len(p.encode()) for p in group])
-            last = np.cumsum(sizes + len(gap)) - len(gap)
-            cut, begun = np.searchsorted(ends, last) + 1, np.searchsorted(ends, last - sizes, "right")
-            if cut[-1] > len(ids) or (ends[cut - 1] != last).any() or (begun[1:] != cut[:-1] + len(gap)).any():
+        code, width = ("H", 2) if self.dtype is np.uint16 else ("I", 4)
+        fit = [p for p in parts if p[0] == " " and not p[-1].isspace()] if "" not in parts else []
+        alone = list(set(parts).difference(fit))
+        groups = [fit[at : at + 256] for at in range(0, len(fit), 256)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids)
+            ends, sizes = np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in group])
+            cut = np.searchsorted(ends, sizes) + 1
+            if cut[-1] > len(ids) or (ends[cut - 1] != sizes).any():
                 alone += group
                 continue
-            raw, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-            for part, start, end in zip(group, (begun * width).tolist(), (cut * width).tolist(), strict=True):
+            raw, start = ids.astype(self.dtype).tobytes(), 0
+            for part, end in zip(group, (cut * width).tolist(), strict=True):
                 self.known[part] = raw[start:end]
-        code = "H" if self.dtype is np.uint16 else "I"
+                start = end
         for at in range(0, len(alone), 4096):
             some = alone[at : at + 4096]
             for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -155,6 +132,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, source's queue, deal, n, ids): ids are the bytes of unsigned 32-bit or, for small vocabularies, 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_threads()
         enc = encoder(path)
         end, width = np.array([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
         for part in slices(batches, "text"):
