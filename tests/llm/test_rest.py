@@ -1,4 +1,4 @@
-"""Perspectives, SentencePiece, Kneser-Ney, chains, the pipeline and the registered SQL."""
+"""Perspectives, SentencePiece, Kneser-Ney, the pipeline and the registered SQL."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from lattica.llm import chains, kneser_ney, perspectives, queries
+from lattica.llm import kneser_ney, perspectives, queries
 from lattica.llm import sentencepieces as sp
 
 # perspectives
@@ -39,6 +39,10 @@ def test_perspectives_cases(spark):
     assert perspectives.rotated(df.limit(0)).count() == 0
 
 
+def make_docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
 # sentencepieces
 
 
@@ -57,13 +61,13 @@ def varint(n):
     return out + bytes([n])
 
 
-def unigram_model(pieces, collapse):
+def unigram_model(pieces, collapse, fallback=True):
     """A model file by hand: scores are given, nothing is trained."""
     body = b""
     for text, score, kind in pieces:
         own = b"\x0a" + varint(len(text.encode())) + text.encode() + b"\x15" + struct.pack("<f", score) + b"\x18" + varint(kind)
         body += b"\x0a" + varint(len(own)) + own
-    trainer = b"\x18\x01" + b"\x98\x02\x01"  # unigram, byte fallback
+    trainer = b"\x18\x01" + b"\x98\x02" + bytes([fallback])  # unigram
     normalizer = b"\x0a\x08identity" + b"\x18\x01" + b"\x20" + bytes([collapse]) + b"\x28\x01"
     return body + b"\x12" + varint(len(trainer)) + trainer + b"\x1a" + varint(len(normalizer)) + normalizer
 
@@ -79,6 +83,27 @@ def test_unigram_parity(collapse):
     assert sp.Model.parse(data).kind == sp.UNIGRAM
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+def test_pieces_that_match_no_text(fallback):
+    """Control, byte and unused pieces stand in texts as ordinary characters."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *([(f"<0x{b:02X}>", -9.0, 6) for b in range(256)] if fallback else [])]
+    pieces += [("▁", -2.0, 1), *[(c, -3.0 - k / 7, 1) for k, c in enumerate("abhetx<>/s04")], ("the", -4.0, 5), ("▁ab", -3.3, 1), ("ab", -3.1, 1), ("abba", -0.5, 5), ("<s", -4.0, 1)]
+    data = unigram_model(pieces, 0, fallback)
+    rng = np.random.default_rng(3)
+    bits = ["a", "b", " ", "<s>", "</s>", "<0x41>", "the", "abba", "é", "😀", "<", "1>", "x", "<unk>", "s", "  "]
+    texts = ["a <s> b", "x <0x41> y", "the </s>", *["".join(rng.choice(bits, rng.integers(0, 9))) for _ in range(500)]]
+    texts = [t for t in texts if "<unk>" not in t]  # the library spells it as the unknown piece
+    assert sp.parity(data, texts) == []
+
+
+def test_bpe_with_unused_pieces_is_refused():
+    with open(sp.default_model(), "rb") as f:
+        model = sp.Model.parse(f.read())
+    model.pieces[-1] = (*model.pieces[-1][:2], sp.UNUSED)
+    with pytest.raises(ValueError):
+        sp.rebuilt(model)
+
+
 def test_sentencepiece_cases(spark, awkward, empty):
     with open(sp.default_model(), "rb") as f:
         data = f.read()
@@ -86,6 +111,8 @@ def test_sentencepiece_cases(spark, awkward, empty):
     assert len(out) == awkward.count() and all(r.round_trip for r in out)
     assert [r.n_ids for r in out if r.doc_id == 2] == [0]
     assert sp.digests(empty, data).count() == 0
+    many = make_docs(spark, [f"naïve {i} <s> café {i}" for i in range(3000)])
+    assert {r.parity for r in sp.digests(many, data).collect()} == {True, None}
     ids = sp.encoded(awkward.filter("doc_id = 6"), data).first().ids
     assert sentencepiece.SentencePieceProcessor(model_proto=data).encode("naïve café 😀 text") == ids
 
@@ -159,98 +186,6 @@ def test_kneser_ney_cases(spark, awkward, empty, labels):
     assert flat.filter("doc_id = 5").first().perplexity == pytest.approx(256)
 
 
-# chains
-
-
-def best_chain(x, y, k, gap):
-    order = sorted(range(len(x)), key=lambda i: x[i])
-    score = {}
-    for i in order:
-        score[i] = k + max([0.0, *[score[j] - gap * (x[i] - x[j] + y[i] - y[j]) for j in score if x[j] < x[i] and y[j] < y[i]]])
-    return max(score.values())
-
-
-def test_chain_scores():
-    rng = np.random.default_rng(6)
-    for _ in range(200):
-        n = int(rng.integers(1, 25))
-        x, y = sorted(rng.integers(0, 60, n).tolist()), rng.integers(0, 60, n).tolist()
-        best = chains.chains(x, y, 5, 0.05, 1)[0]
-        got = 5 + sum(5 - 0.05 * (x[b] - x[a] + y[b] - y[a]) for a, b in zip(best, best[1:], strict=False))
-        assert got == pytest.approx(best_chain(x, y, 5, 0.05))
-        assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(best, best[1:], strict=False))
-
-
-def test_winnowing_keeps_a_seed_of_every_stretch():
-    rng = np.random.default_rng(7)
-    words = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
-    _, at = chains.seeds(words)
-    assert max(np.diff(np.concatenate(([-1], np.sort(at), [296])))) <= chains.WINDOW
-    _, part = chains.seeds(words[100 : 100 + chains.K + chains.WINDOW - 1])
-    assert {p + 100 for p in part.tolist()} & set(at.tolist())
-
-
-def make_docs(spark, texts):
-    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-
-
-def test_passages(spark):
-    rng = np.random.default_rng(8)
-    words = lambda n: [f"w{v}" for v in rng.integers(0, 10**6, n)]
-    shared = words(80)
-    fuzzy = list(shared)
-    for i in range(7, 80, 16):
-        fuzzy[i] = "changed"
-    del fuzzy[40]
-    texts = [words(100) + shared + words(50), words(30) + shared, fuzzy + words(200), words(300), words(90), shared[:20] + words(60)]
-    out = chains.passages(make_docs(spark, [" ".join(t) for t in texts])).collect()
-    assert {(r.doc_id, r.other_id) for r in out} >= {(1, 0), (2, 0)}
-    assert {d for r in out for d in (r.doc_id, r.other_id)} == {0, 1, 2}
-    exact = next(r for r in out if (r.doc_id, r.other_id) == (1, 0))
-    assert (exact.start, exact.end, exact.other_start, exact.other_end, exact.identity) == (30, 110, 100, 180, 1.0)
-    near = next(r for r in out if (r.doc_id, r.other_id) == (2, 0))
-    assert near.start <= 2 and near.end >= 76 and 0.85 < near.identity < 1
-
-
-@pytest.mark.parametrize("copies", [1, 12])
-def test_passages_of_parts_that_are_common_elsewhere(spark, copies):
-    rng = np.random.default_rng(9)
-    words = lambda n: [f"w{v}" for v in rng.integers(0, 10**6, n)]
-    parts = [words(20) for _ in range(3)]
-    alone = lambda: [words(30) + p + words(30) for p in parts for _ in range(copies)]
-    both = [words(25) + sum(parts, []) + words(25), words(70) + sum(parts, []) + words(5)]
-    texts = alone() + both + alone()
-    found = chains.passages(make_docs(spark, [" ".join(t) for t in texts])).collect()
-    b = 3 * copies
-    assert {(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end) for r in found} == {(b + 1, b, 70, 130, 25, 85)}
-
-
-def test_all_shared_windows_are_connected(spark, small):
-    docs = {r.doc_id: r.text.lower().split() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    where = {}
-    for d, w in docs.items():
-        for k in range(len(w) - 49):
-            where.setdefault(tuple(w[k : k + 50]), set()).add(d)
-    out = chains.op4_chains(spark, small).collect()
-    root = {d: d for d in docs}
-
-    def find(a):
-        while root[a] != a:
-            a = root[a]
-        return a
-
-    for r in out:
-        a, b = find(r.doc_id), find(r.other_id)
-        root[max(a, b)] = min(a, b)
-    shared = [s for s in where.values() if len(s) > 1]
-    assert shared and all(len({find(d) for d in s}) == 1 for s in shared)
-
-
-def test_chain_cases(spark, awkward, empty):
-    assert chains.passages(awkward).count() == 0
-    assert chains.passages(empty).count() == 0
-
-
 # pipeline
 
 
