@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import multi_index
 
@@ -37,7 +39,7 @@ def test_blocks_and_ties(spark):
     v = rng.normal(size=(600, 16))
     v[100:200] = v[100]  # copies: ties go to the smaller id
     df = spark.createDataFrame([(i, [float(x) for x in np.float32(r)], 0) for i, r in enumerate(v)], SCHEMA)
-    small = multi_index.nearest(df, df.filter("vec_id % 20 = 0"), row_block=200, query_block=7).toPandas()
+    small = multi_index.nearest(df, df.filter("vec_id % 20 = 0"), block_rows=200).toPandas()
     v = np.float32(v).astype(float)
     for own, g in small.groupby("query_id"):
         assert len(set(brute(np.arange(600), v, v[own], own)[0]) & set(g.vec_id)) >= 18
@@ -45,15 +47,37 @@ def test_blocks_and_ties(spark):
     assert tied.vec_id.tolist() == list(range(101, 121))
 
 
-def test_pigeonhole_meets_all_codes_within_the_radius():
+@pytest.mark.parametrize("spread", [0.02, 100.0])
+def test_pigeonhole_meets_all_codes_within_the_radius(spread):
+    """Near copies are found by probing alone; among scattered vectors all codes are read."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(500, 32))
+    centers = rng.normal(size=(20, 32))
+    x = centers[rng.integers(0, 20, 2000)] + spread * rng.normal(size=(2000, 32))
     codes = multi_index.Codes.fit(x, 64)
-    assert codes.of(x).shape == (500, 8)
-    ids = np.arange(500)
-    _, got, _ = multi_index.search_block(codes, ids, x, ids[:5] + 1000, x[:5], k=20, least=500, share=1.0)
+    assert codes.of(x).shape == (2000, 8)
+    block = multi_index.Block(codes, np.arange(2000), x)
+    far = np.bitwise_count(codes.of(x).view(np.uint64) ^ codes.of(x).view(np.uint64).T).astype(int)
     for i in range(5):
-        assert got[20 * i : 20 * i + 20].tolist() == brute(ids, x, x[i], -1)[0]
+        found = block.near(codes.of(x[i : i + 1])[0], 40)
+        assert (found is None) == (spread == 100.0)
+        if found is not None:
+            s = int(found[1].max()) // 8
+            assert set(found[0].tolist()) == set(np.flatnonzero(far[i] < 8 * (s + 1)).tolist())
+    got = list(block.search(np.arange(5) + 10_000, x[:5], 20, 2000, 1.0))
+    for i in range(5):
+        assert next(r for q, r, _ in got if q[0] == i + 10_000).tolist() == brute(np.arange(2000), x, x[i], -1)[0]
+
+
+def test_recall_over_several_blocks(spark):
+    """80,000 vectors without structure in four blocks; a hundred queries."""
+    rng = np.random.default_rng(6)
+    v = np.float32(rng.normal(size=(80_000, 32)))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(80_000), "embedding": v.tolist()})).select("vec_id", F.col("embedding").cast("array<float>"))
+    found = multi_index.nearest(df, df.filter("vec_id % 800 = 0"), block_rows=20_000).toPandas()
+    v = v.astype(float)
+    hits = sum(len(set(brute(np.arange(80_000), v, v[own], own)[0]) & set(g.vec_id)) for own, g in found.groupby("query_id"))
+    assert found.query_id.nunique() == 100 and hits >= 0.95 * 2000
 
 
 def test_defined_cases(spark):
