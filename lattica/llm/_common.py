@@ -58,6 +58,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, written first if its partitions hang on an exchange and might come out otherwise when it is computed again."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return written(df, "settled") if "Exchange" in plan else df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for each row, however often body mentions it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

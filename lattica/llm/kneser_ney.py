@@ -1,17 +1,20 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of byte n-grams.
 
-The model is trained on all trusted texts (labelled good and not toxic). Tasks count n-grams before anything is
-shuffled; lower orders hold continuation counts, discounts come from the counts of counts of each order, and the
-interpolated probabilities are joins of the count tables, sharded by n-gram. Documents are scored against the finished
-table in shards of at most ``SHARD`` entries: n-grams whose third and second last bytes are equal share a shard with
-all their suffixes and histories, so that each n-gram is scored by one shard, and a task holds one shard at a time.
-Only tables of orders one and two, at most 66,000 entries, are in every shard. Verdicts compare a document's perplexity
-for a byte with quantiles of the trusted documents of its language.
+The model is trained on trusted texts (labelled good and not toxic), of which one id in ``HELD`` is held out. Tasks
+count n-grams before anything is shuffled; lower orders hold continuation counts, discounts come from the counts of
+counts of each order.
+
+Scoring is joins of counts, sharded by n-gram: each partition of the documents asks for its distinct n-grams; those of
+all partitions, and their suffixes, meet the count tables order by order, which gives the interpolated probability of
+each; the answers go back to the partitions that asked, where they meet the documents and are summed. A task holds the
+answers of one partition, a bounded portion of its texts' n-grams, and never the model. Verdicts compare a document's
+perplexity for a byte with quantiles of the held-out documents of its language.
 
 Defined cases: null and empty texts have no perplexity and are not kept; a null language is a language of its own; a
-language with fewer than ``FEW`` trusted documents uses the quantiles of all; rows without doc_id and repeated rows are
-scored like any others; without trusted texts every byte is equally likely and every non-empty text is kept; an empty
-table gives an empty result; further columns are ignored.
+language with fewer than ``FEW`` held-out documents uses the quantiles of all, and without any those of all trusted
+ones; rows without doc_id and repeated rows are scored like any others; without trusted texts every byte is equally
+likely and every non-empty text is kept; texts of any length are taken in portions; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,47 +24,52 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm._common import table, written
+from lattica.llm._common import settled, slices, table, written
 
 ORDER = 5
-SHARD = 4_000_000
+#: n-grams that a task holds before it hands them on.
+DISTINCT = 4_000_000
 #: Trusted ids that are broadcast (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-LOW, HIGH, SLACK, FEW = 0.002, 0.998, 1.1, 50
-BATCH_BYTES = 4 << 20
-
-
-def _stream(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram codes that end at each byte of the texts, and the number of bytes of each text.
-
-    Texts are led in by order - 1 zero bytes; a code holds its newest byte lowest.
-    """
-    pad = b"\0" * (order - 1)
-    raw = np.frombuffer(pad + pad.join(texts), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+LOW, HIGH, FEW, HELD = 0.005, 0.995, 50, 5
+#: Bytes of texts whose n-grams are held at once.
+BATCH_BYTES = 2 << 20
+
+
+def portions(texts: list[bytes], order: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(rows, parts): texts in portions of about BATCH_BYTES, each part led in by the order - 1 bytes before it."""
+    rows, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, len(t), BATCH_BYTES):
+            part = t[at : at + BATCH_BYTES]
+            rows.append(i)
+            parts.append((t[at - order + 1 : at] if at else b"\0" * (order - 1)) + part)
+            size += len(part)
+            if size >= BATCH_BYTES:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if rows:
+        yield rows, parts
+
+
+def ngrams(parts: list[bytes], order: int) -> np.ndarray:
+    """Codes of the n-grams within each part, one after another; a code holds its newest byte lowest."""
+    raw = np.frombuffer(b"".join(parts), np.uint8)
     codes = np.zeros(len(raw) - order + 1, np.int64)
     for k in range(order):
         codes |= raw[order - 1 - k : len(raw) - k].astype(np.int64) << (8 * k)
-    ends = np.cumsum(sizes + order - 1) - (order - 1)
     keep = np.ones(len(codes), bool)
-    for e in ends[:-1]:
-        keep[e : e + order - 1] = False
-    return codes[keep], sizes
+    for e in np.cumsum([len(p) for p in parts])[:-1]:
+        keep[e - order + 1 : e] = False
+    return codes[keep]
 
 
-def _packed(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[bytes], pa.RecordBatch]]:
-    """Texts as bytes in portions of about BATCH_BYTES, with their rows."""
-    for b in batches:
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(column).to_pylist()]
-        at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= BATCH_BYTES or i + 1 == len(texts):
-                yield texts[at : i + 1], b.slice(at, i + 1 - at)
-                at, size = i + 1, 0
+def _raw(column: pa.Array) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
 def ngram_counts(texts: DataFrame, order: int) -> DataFrame:
@@ -77,17 +85,43 @@ def ngram_counts(texts: DataFrame, order: int) -> DataFrame:
         def out(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], ["g", "c"])
 
-        for part, _ in _packed(batches, 0):
-            where, codes = pd.factorize(_stream(part, order)[0])
-            held.append((codes, np.bincount(where, minlength=len(codes))))
-            if sum(len(g) for g, _ in held) > SHARD:
-                held[:] = [merged()]
-                if len(held[0][0]) > SHARD // 2:
-                    yield out(held.pop())
+        for b in slices(batches, "text"):
+            for _, parts in portions(_raw(b.column(0)), order):
+                where, codes = pd.factorize(ngrams(parts, order))
+                held.append((codes, np.bincount(where, minlength=len(codes))))
+                if sum(len(g) for g, _ in held) > DISTINCT:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > DISTINCT // 2:
+                        yield out(held.pop())
         if held:
             yield out(merged())
 
-    return texts.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+
+
+def asked(docs: DataFrame, order: int) -> DataFrame:
+    """(block, g): the n-grams of the column ``text`` in each partition, whose number ``block`` holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh, block = np.zeros(0, np.int64), [], None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block, np.int32)), pa.array(held)], ["block", "g"])
+
+        for b in slices(batches, "text"):
+            block = b.column(0)[0].as_py()  # all rows of a partition bear its number
+            for _, parts in portions(_raw(b.column(1)), order):
+                fresh.append(pd.unique(ngrams(parts, order)))
+                if sum(map(len, fresh)) > DISTINCT // 4:
+                    held, fresh = pd.unique(np.concatenate([held, *fresh])), []
+                    if len(held) > DISTINCT:
+                        yield out()
+                        held = held[:0]
+        held = pd.unique(np.concatenate([held, *fresh]))
+        if len(held):
+            yield out()
+
+    return docs.select("block", "text").mapInArrow(run, "block int, g long")
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -99,128 +133,106 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def model(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, v, shard_key): interpolated probabilities, and back-off weights of histories.
-
-    A key holds the kind in its highest byte: n for the probability of an n-gram, 16 + n for the weight that order n
-    leaves to order n - 1 after a history. shard_key is the pair of bytes by which the table is sharded, -1 for entries
-    that all shards need.
-    """
-    counts = {order: written(ngram_counts(texts, order), f"counts{order}")}
+def log_probs(grams: DataFrame, texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(g, logp): the logarithm of the interpolated probability of each of the n-grams in the column g, by joins."""
+    counts, wanted = {order: written(ngram_counts(texts, order), f"counts{order}")}, {order: written(grams.select("g").distinct(), f"grams{order}")}
     for n in range(order - 1, 0, -1):
-        suffix = F.col("g").bitwiseAND(F.lit((1 << (8 * n)) - 1))
-        counts[n] = written(counts[n + 1].groupBy(suffix.alias("g")).agg(F.count(F.lit(1)).alias("c")), f"counts{n}")
-    entries, lower = [], None
+        suffix = F.col("g").bitwiseAND(F.lit((1 << (8 * n)) - 1)).alias("g")
+        counts[n] = written(counts[n + 1].groupBy(suffix).agg(F.count(F.lit(1)).alias("c")), f"counts{n}")
+        wanted[n] = written(wanted[n + 1].select(suffix).distinct(), f"grams{n}")
+    lower = None
     for n in range(1, order + 1):
         d1, d2, d3 = discounts(counts[n])
-        c = F.col("c")
-        paid = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-        with_h = counts[n].withColumn("h", F.shiftright("g", 8))
-        hist = with_h.groupBy("h").agg(F.sum("c").alias("s"), F.sum(paid).alias("free")).select("h", "s", (F.col("free") / F.col("s")).alias("w"))
-        own = with_h.join(hist, "h")
+        paid = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        h = F.shiftright("g", 8).alias("h")
+        histories = counts[n].select(h, "c").groupBy("h").agg(F.sum("c").alias("s"), (F.sum(paid) / F.sum("c")).alias("w"))
+        own = wanted[n].select("g", h, F.col("g").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1)).alias("suffix"))
+        own = own.join(counts[n], "g", "left").join(histories, "h", "left")
         if lower is None:
-            probs = own.select("g", ((c - paid) / F.col("s") + F.col("w") / 256).alias("p"))
+            own = own.withColumn("below", F.lit(1 / 256))
         else:
-            own = own.withColumn("suffix", F.col("g").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1)))
-            probs = own.join(lower.select(F.col("g").alias("suffix"), F.col("p").alias("below")), "suffix").select("g", ((c - paid) / F.col("s") + F.col("w") * F.col("below")).alias("p"))
-        probs = written(probs, f"probs{n}") if n < order else probs
-        pair = lambda x: F.shiftright(x, 8) % 65536 if n > 2 else F.lit(-1).cast("long")
-        entries.append(probs.select((F.lit(n << 56) + F.col("g")).alias("key"), F.col("p").cast("float").alias("v"), pair(F.col("g")).alias("shard_key")))
-        entries.append(hist.select((F.lit((16 + n) << 56) + F.col("h")).alias("key"), F.col("w").cast("float").alias("v"), (F.col("h") % 65536 if n > 2 else F.lit(-1).cast("long")).alias("shard_key")))
-        lower = probs
-    out = entries[0]
-    for e in entries[1:]:
-        out = out.unionAll(e)
-    return written(out, "model")
-
-
-def shards(spark: SparkSession, entries: DataFrame, size: int = SHARD) -> list:
-    """Broadcast tables, each of about ``size`` entries at most, sorted by key."""
-    n = max(1, -(-entries.count() // size))
-    out = []
-    for k in range(n):
-        own = entries.filter((F.col("shard_key") < 0) | (F.pmod(F.xxhash64("shard_key"), F.lit(n)) == k)).select("key", "v").toArrow()
-        keys, v = own["key"].to_numpy(), own["v"].to_numpy()
-        order = np.argsort(keys)
-        out.append(spark.sparkContext.broadcast((keys[order], v[order])))
-    return out
-
-
-def shard_of(pairs: np.ndarray, n: int) -> np.ndarray:
-    """The number of the shard of each pair of bytes, as Spark's hash gives it."""
-    if n == 1:
-        return np.zeros(len(pairs), np.int64)
-    import xxhash
-
-    h = np.array([xxhash.xxh64_intdigest(p.to_bytes(8, "little"), 42) for p in range(65536)], np.uint64).view(np.int64)
-    return (h % n)[pairs]
-
-
-def log_probs(codes: np.ndarray, keys: np.ndarray, v: np.ndarray, order: int) -> np.ndarray:
-    """Logarithm of the interpolated probability of each n-gram, all of whose entries are in the table."""
-    out = np.zeros(len(codes))
-    rest, g = np.arange(len(codes)), codes
-
-    def find(kind: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = (np.int64(kind) << 56) + x
-        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-        return (keys[at] == key, at) if len(keys) else (np.zeros(len(x), bool), at)
-
-    for n in range(order, 0, -1):
-        hit, at = find(n, g)
-        out[rest[hit]] += np.log(v[at[hit]].astype(float))
-        rest, g = rest[~hit], g[~hit]
-        if not len(rest):
-            return out
-        known, at = find(16 + n, g >> 8)
-        out[rest[known]] += np.log(np.maximum(v[at[known]].astype(float), 1e-12))
-        g = g & ((1 << (8 * (n - 1))) - 1)
-    out[rest] -= np.log(256)
-    return out
-
-
-def scored(docs: DataFrame, tables: list, order: int = ORDER) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity) of every row."""
+            own = own.join(lower.select(F.col("g").alias("suffix"), F.col("p").alias("below")), "suffix")
+        seen = F.coalesce((F.col("c") - paid) / F.col("s"), F.lit(0.0)) + F.col("w") * F.col("below")
+        lower = written(own.select("g", F.when(F.col("s").isNull(), F.col("below")).otherwise(seen).alias("p")), f"probs{n}")
+    return lower.select("g", F.log(F.greatest("p", F.lit(1e-300))).alias("logp"))
+
+
+def scored(docs: DataFrame, texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(doc_id, lang, n_bytes, perplexity) of every row under the model of ``texts``."""
+    # computed twice, so its partitions have to come out alike
+    own = settled(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")))
+    own = own.withColumn("block", F.spark_partition_id())
+    asks = written(asked(own, order), "asks")
+    answers = asks.join(log_probs(asks, texts, order), "g").select("block", F.lit(0).alias("kind"), "g", "logp")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(1)
+        for b in slices(batches, "text"):
+            raw = _raw(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), b.column(1), pa.array(map(len, raw), pa.int64()), pa.array([press.compress(t) for t in raw], pa.binary())], ["block", "doc_id", "lang", "n_bytes", "z"])
+
+    texts_of = own.mapInArrow(packed, "block int, doc_id long, lang string, n_bytes long, z binary").withColumn("kind", F.lit(1))
+    names = ["block", "kind", "g", "logp", "doc_id", "lang", "n_bytes", "z"]
+    both = answers.unionByName(texts_of, allowMissingColumns=True).select(names).repartition("block").sortWithinPartitions("block", "kind", "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, rows in _packed(batches, 2):
-            codes, sizes = _stream(texts, order)
-            where, unique = pd.factorize(codes)
-            unique = np.asarray(unique, np.int64)
-            logs, own = np.zeros(len(unique)), shard_of((unique >> 8) % 65536, len(tables))
-            for k, shared in enumerate(tables):
-                mine = np.flatnonzero(own == k)
-                if len(mine):
-                    logs[mine] = log_probs(unique[mine], *shared.value, order)
-            each, ends = np.concatenate(([0.0], np.cumsum(logs[where]))), np.cumsum(sizes)
-            total = each[ends] - each[ends - sizes]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ppl = np.exp(-total / sizes)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes), pa.array(ppl, mask=sizes == 0)], ["doc_id", "lang", "n_bytes", "perplexity"])
-
-    wanted = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    return wanted.mapInArrow(run, "doc_id long, lang string, n_bytes long, perplexity double")
+        now, held, logs, press = None, [], np.zeros(0), zstandard.ZstdDecompressor()
+        keys = np.zeros(0, np.int64)
+        for whole in batches:
+            block, kind = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            cut = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
+                if s == e:
+                    continue
+                if block[s] != now:
+                    now, held, keys = block[s], [], np.zeros(0, np.int64)
+                if kind[s] == 0:
+                    held.append((whole.column(2).slice(s, e - s).to_numpy().copy(), whole.column(3).slice(s, e - s).to_numpy().copy()))
+                    continue
+                if held:
+                    keys, logs = (np.concatenate(c) for c in zip(*held, strict=True))
+                    held = []
+                for b in slices(iter([whole.slice(s, e - s)]), "z", size=BATCH_BYTES // 4):
+                    raw, total = [press.decompress(z) for z in b.column(7).to_pylist()], np.zeros(b.num_rows)
+                    for rows, parts in portions(raw, order):
+                        where, codes = pd.factorize(ngrams(parts, order))
+                        codes = np.asarray(codes, np.int64)
+                        at = np.searchsorted(keys, codes)
+                        if len(keys) <= at.max(initial=0) or (keys[at] != codes).any():
+                            raise RuntimeError("partitions of the documents changed while they were scored")
+                        each = np.concatenate(([0.0], np.cumsum(logs[at][where])))
+                        sizes = np.array([len(p) - order + 1 for p in parts])
+                        ends = np.cumsum(sizes)
+                        np.add.at(total, rows, each[ends] - each[ends - sizes])
+                    n = b.column(6).to_numpy()
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        ppl = np.exp(-total / n)
+                    yield pa.RecordBatch.from_arrays([b.column(4), b.column(5), b.column(6), pa.array(ppl, mask=n == 0)], ["doc_id", "lang", "n_bytes", "perplexity"])
+
+    return both.mapInArrow(run, "doc_id long, lang string, n_bytes long, perplexity double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, held): ids of trusted documents, and whether they are held out."""
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    return good.filter("q = 1 and coalesce(t, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
+    own = good.filter("q = 1 and coalesce(t, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
+    return own.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0)
 
 
 def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, low, high, kept)."""
-    spark = docs.sparkSession
     good = written(trusted_ids(labels), "trusted")
-    small = good.count() <= BROADCAST_IDS
-    own = docs.join(F.broadcast(good) if small else good, "doc_id", "left_semi").select(F.col("text").cast("string").alias("text"))
-    rows = written(scored(docs, shards(spark, model(own, order)), order), "scored")
-    trusted = rows.join(F.broadcast(good) if small else good, "doc_id", "left_semi").filter("perplexity is not null")
-    cut = F.percentile_approx("perplexity", F.array(F.lit(LOW), F.lit(HIGH)), 10_000)
-    whole = trusted.agg(cut.alias("q")).first().q or [0.0, float("inf")]
-    by_lang = trusted.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("n"), cut.alias("q")).filter(F.col("n") >= FEW)
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
+    own = docs.join(good.filter("not held"), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text"))
+    rows = written(scored(docs, own, order), "scored")
+    trusted = rows.join(good, "doc_id").filter("perplexity is not null")
+    cut = F.percentile_approx("perplexity", F.array(F.lit(LOW), F.lit(HIGH)), 100_000)
+    wholes = {r.held: r.q for r in trusted.groupBy("held").agg(cut.alias("q")).collect()}
+    whole = wholes.get(True) or wholes.get(False) or [0.0, float("inf")]
+    by_lang = trusted.filter("held").groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("n"), cut.alias("q")).filter(F.col("n") >= FEW)
     out = rows.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     low, high = (F.coalesce(F.col("q")[k], F.lit(float(whole[k]))) for k in (0, 1))
-    out = out.withColumns({"low": low / SLACK, "high": high * SLACK})
+    out = out.withColumns({"low": low, "high": high})
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "low", "high", F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False)).alias("kept"))
 
 

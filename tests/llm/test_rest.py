@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lattica.llm import kneser_ney, perspectives, queries
@@ -121,27 +122,34 @@ def test_sentencepiece_cases(spark, awkward, empty):
 
 
 def brute_model(texts, order):
-    """Interpolated modified Kneser-Ney probabilities in plain Python."""
-    grams = {order: {}}
+    counts = {}
     for t in texts:
         b = b"\0" * (order - 1) + t.encode()
         for i in range(len(b) - order + 1):
-            grams[order][b[i : i + order]] = grams[order].get(b[i : i + order], 0) + 1
+            counts[b[i : i + order]] = counts.get(b[i : i + order], 0) + 1
+    return brute_probabilities(counts, order)
+
+
+def brute_probabilities(counts, order):
+    """Interpolated modified Kneser-Ney probabilities in plain Python."""
+    grams = {order: counts}
     for n in range(order - 1, 0, -1):
         grams[n] = {}
         for g in grams[n + 1]:
             grams[n][g[1:]] = grams[n].get(g[1:], 0) + 1
-    cut = {}
+    cut, after = {}, {}
     for n, c in grams.items():
         n1, n2, n3, n4 = (sum(x == k for x in c.values()) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 + n2 else 0
         cut[n] = [min(max(k - (k + 1) * y * b / a, 0), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))] if n1 and n2 and n3 and n4 else [0.5, 0.75, 0.9]
+        for g, v in c.items():
+            after.setdefault(g[:-1], {})[g] = v
 
     def p(g):
         n = len(g)
         if n == 0:
             return 1 / 256
-        own = {k: v for k, v in grams[n].items() if k[:-1] == g[:-1]}
+        own = after.get(g[:-1], {})
         if not own:
             return p(g[1:])
         d, s = cut[n], sum(own.values())
@@ -152,20 +160,71 @@ def brute_model(texts, order):
     return p
 
 
-def test_probabilities(spark):
+def test_probabilities(spark, monkeypatch):
     texts = ["the cat sat on the mat", "the cat ate the rat", "a rat sat on a cat", "that is that"] * 2 + ["mats and cats"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    entries = kneser_ney.model(df, 4)
     p = brute_model(texts, 4)
-    tests = ["the cat sat", "zebra", "on that mat", "é"]
-    for size in (kneser_ney.SHARD, 60):
-        tables = kneser_ney.shards(spark, entries, size)
-        docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(tests)], "doc_id long, lang string, text string")
-        for r in kneser_ney.scored(docs, tables, 4).collect():
+    tests = ["the cat sat", "zebra", "on that mat", "é", "", "the cat sat on the mat" * 40]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(tests)], "doc_id long, lang string, text string")
+    for size in (kneser_ney.BATCH_BYTES, 7):
+        monkeypatch.setattr(kneser_ney, "BATCH_BYTES", size)
+        for r in kneser_ney.scored(docs.repartition(3), df, 4).collect():
             b = b"\0\0\0" + tests[r.doc_id].encode()
-            want = np.exp(-np.mean([np.log(p(b[i : i + 4])) for i in range(len(b) - 3)]))
-            assert r.perplexity == pytest.approx(want, rel=1e-4)
-    assert len(kneser_ney.shards(spark, entries, 60)) > 1
+            want = np.exp(-np.mean([np.log(p(b[i : i + 4])) for i in range(len(b) - 3)])) if tests[r.doc_id] else None
+            assert r.perplexity == (want and pytest.approx(want, rel=1e-9))
+
+
+def test_portions():
+    texts = [b"", b"abc", b"x" * 50, b"de"]
+    old, kneser_ney.BATCH_BYTES = kneser_ney.BATCH_BYTES, 7
+    try:
+        got = {i: [] for i in range(4)}
+        for rows, parts in kneser_ney.portions(texts, 3):
+            assert sum(len(p) - 2 for p in parts) < 14
+            for i, p in zip(rows, parts, strict=True):
+                got[i] += kneser_ney.ngrams([p], 3).tolist()
+            assert kneser_ney.ngrams(parts, 3).tolist() == [g for p in parts for g in kneser_ney.ngrams([p], 3).tolist()]
+    finally:
+        kneser_ney.BATCH_BYTES = old
+    for i, t in enumerate(texts):
+        assert got[i] == [int.from_bytes((b"\0\0" + t)[k : k + 3], "big") for k in range(len(t))]
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """Every perplexity, threshold and verdict of the query on 300 documents, order 3."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).toPandas()
+    rng = np.random.default_rng(14)
+    labels = [(int(d), int(rng.random() < 0.7), int(rng.random() < 0.1)) for d in docs.doc_id[:250]]
+    out = kneser_ney.judged(spark.createDataFrame(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 3).toPandas()
+    trusted = {d for d, q, t in labels if q and not t}
+    held = {r.doc_id for r in spark.createDataFrame([(d,) for d in trusted], "doc_id long").filter(F.pmod(F.xxhash64("doc_id"), F.lit(kneser_ney.HELD)) == 0).collect()}
+    texts = {d: (t or "").encode() for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    counts = {}
+    for d in trusted - held:
+        b = b"\0\0" + texts[d]
+        for i in range(len(b) - 2):
+            counts[b[i : i + 3]] = counts.get(b[i : i + 3], 0) + 1
+    p, known = brute_probabilities(counts, 3), {}
+    want = {}
+    for d, t in texts.items():
+        b = b"\0\0" + t
+        logs = []
+        for i in range(len(t)):
+            g = b[i : i + 3]
+            if g not in known:
+                known[g] = np.log(p(g))
+            logs.append(known[g])
+        want[d] = float(np.exp(-np.mean(logs))) if t else None
+    assert len(out) == 300
+    own = np.sort([want[d] for d in held if want[d]])
+    rank = lambda q: own[max(0, int(np.ceil(q * len(own))) - 1)]
+    for r in out.itertuples():
+        if want[r.doc_id] is None:
+            assert np.isnan(r.perplexity) and not r.kept
+            continue
+        assert r.perplexity == pytest.approx(want[r.doc_id], rel=1e-9)
+        assert (r.low, r.high) == pytest.approx((rank(kneser_ney.LOW), rank(kneser_ney.HIGH)), rel=1e-9)
+        assert r.kept == (r.low <= r.perplexity <= r.high)
 
 
 def test_verdicts(spark):
