@@ -1,12 +1,16 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
-The patterns give base spans. The field labels tokens that hold a digit or an at sign, or share a key with a base span
-of their document: neighbours are joined in a chain, repeated or similar tokens of a document (same core, same local part of an address, same digits) share skip
-potentials, and loopy message passing makes their labels agree. Tokens outside base spans that come out as personal
-with a marginal of ``THRESHOLD`` or more add spans; base spans always stay.
-
-The field is trained here, on weak labels: base spans of a bounded, hash-chosen sample of documents (``max_train``), which
-similar tokens of the same document inherit, where the evidence of half of the labelled tokens is hidden so that shape and repetition have to explain them.
+The patterns give base spans of four kinds. The field labels tokens as one of these, as a secret (keys, credentials) or
+as a name. Its nodes are tokens that hold a digit or an at sign, or share a key with a base span of their document, such
+as an address's local part or, in capitals, a part of that. Neighbours are joined in a chain; repeated or similar tokens
+of a document (same core, same local part of an address, same part of one, same digits) share skip potentials, and loopy
+message passing makes their labels agree. Tokens outside base spans that come out as personal with a marginal of
+``THRESHOLD`` or more add spans; base spans always stay.
+
+The field is trained here, in one task, on weak labels of a bounded, hash-chosen sample of documents (``max_train`` of
+them, and as many tokens): base spans, strings in the shape of keys, and capitalised parts of an address, all of which
+similar tokens of the same document inherit. The evidence of half of the labelled tokens is hidden, so that shape,
+context and repetition have to explain them.
 
 Defined cases: a null or empty text has no spans and the digest of the empty string; rows without doc_id and repeated
 rows are treated like any others; further columns are ignored; an empty table, or one without personal data, leaves
@@ -25,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm._common import table
+from lattica.llm._common import slices, table
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("other", *KINDS)
+#: Kinds of spans: those of the patterns first.
+ALL_KINDS = (*KINDS, "secret", "name")
+SECRET, NAME = 5, 6
+LABELS = ("other", *ALL_KINDS)
 THRESHOLD, ROUNDS = 0.9, 8
-#: Rows whose texts a worker holds at once.
-ROWS = 256
 
 # Fixed values of the contract, in forms that match the same spans in linear time.
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,7 +47,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _CLUE = re.compile("[0-9@]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_EDGE = ".,;:!?\"'()[]{}<>"
+_EDGE = ".,;:!?\"'()[]{}<>#$%&*|"
+_PART = re.compile("[^\\W\\d_]{5,}")
 
 Span = tuple[int, int, int]  # start, kind's number, end
 
@@ -81,7 +87,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def written_spans(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 @dataclass
@@ -92,48 +98,82 @@ class Token:
     core: str
     keys: list[str]
     base: int  # label by the patterns, 0 if none
+    lead: bool = False  # follows an equals sign or a colon
+    part: bool = False  # is, in capitals, a part of an address of the document
+
+    @property
+    def weak(self) -> int:
+        """Label for training: that of the patterns, or by a key's shape, or as part of an address."""
+        return self.base or (SECRET if looks_secret(self) else NAME if self.part else 0)
+
+
+def looks_secret(t: Token) -> bool:
+    """Long hexadecimal digests, capitals with digits as in access keys, and long mixed strings that are assigned."""
+    c = t.core.rpartition("=")[2].strip(_EDGE)
+    if not c.isascii():
+        return False
+    digits = sum(x.isdigit() for x in c)
+    letters = sum(x.isalpha() for x in c)
+    if len(c) < 16 or digits < 2 or letters < 2:
+        return False
+    if len(c) >= 32 and digits + letters == len(c) and all(x in "0123456789abcdefABCDEF" for x in c):
+        return True
+    if digits + letters == len(c) and c.upper() == c and len(c) >= 20:
+        return True
+    return (t.lead or "=" in t.core) and len(c) >= 20 and all(x.isalnum() or x in "+/_-." for x in c)
 
 
 def tokens(text: str, spans: list[Span]) -> list[Token]:
-    """Tokens with a digit or an at sign, and those that share a key with a base span, such as an address's local part."""
+    """Tokens with a digit or an at sign, and those that share a key with a base span."""
     out: list[Token] = []
     if not _CLUE.search(text):
         return out
-    word, at, s = 0, 0, 0
+    word, at, s, lead = 0, 0, 0, False
     known = _span_keys(text, spans)
     for m in _SPACE.finditer(text + " "):
-        if m.start() > at and ((clue := _CLUE.search(text, at, m.start())) or known):
-            core = text[at : m.start()]
-            a = at + len(core) - len(core.lstrip(_EDGE))
-            core = core.strip(_EDGE)
-            b = a + len(core)
-            if core and (clue or not known.isdisjoint(_keys(core))):
-                while s < len(spans) and spans[s][2] <= a:
-                    s += 1
-                hit = next((k for x, k, y in spans[s : s + 4] if x < b and y > a), None)
-                keys = _keys(core) + [k for x, _, y in spans[s : s + 4] if x < b and y > a for k in _keys(text[x:y].strip(_EDGE))]
-                out.append(Token(a, b, word, core, list(dict.fromkeys(keys)), 0 if hit is None else hit + 1))
+        if m.start() > at:
+            if (clue := _CLUE.search(text, at, m.start())) or known:
+                core = text[at : m.start()]
+                a = at + len(core) - len(core.lstrip(_EDGE))
+                core = core.strip(_EDGE)
+                b = a + len(core)
+                if core and (clue or not known.isdisjoint(_keys(core))):
+                    while s < len(spans) and spans[s][2] <= a:
+                        s += 1
+                    hits = [(x, k, y) for x, k, y in spans[s : s + 4] if x < b and y > a]
+                    keys = _keys(core) + [k for x, i, y in hits for k in _base_keys(text[x:y], i)]
+                    part = not hits and any(k[0] == "n" and k in known for k in keys)
+                    out.append(Token(a, b, word, core, list(dict.fromkeys(keys)), hits[0][1] + 1 if hits else 0, lead, part))
+            lead = text[m.start() - 1] in "=:"
         word, at = word + 1, m.end()
     return out
 
 
 def _span_keys(text: str, spans: list[Span]) -> set[str]:
     """Keys of the base spans that a token without a digit or an at sign may share."""
-    return {k for a, _, b in spans for k in _keys(text[a:b].strip(_EDGE)) if not _CLUE.search(k)}
+    return {key for a, kind, b in spans for key in _base_keys(text[a:b], kind) if not _CLUE.search(key)}
+
+
+def _base_keys(span: str, kind: int) -> list[str]:
+    """Keys of a base span; an address also has the parts of its local part."""
+    parts = _PART.findall(span.split("@")[0].casefold()) if kind == 0 else []
+    return _keys(span.strip(_EDGE)) + [f"n{p}" for p in parts]
 
 
 def _keys(core: str) -> list[str]:
-    """What similar tokens share: the folded core, the local part of an address, seven digits or more."""
+    """What similar tokens share: the folded core, the local part of an address, a capitalised word, seven digits or more."""
     folded, digits = core.casefold(), "".join(c for c in core if "0" <= c <= "9")
     local = folded.split("@")[0]
-    return [k for k in dict.fromkeys((f"c{folded}" if len(folded) >= 6 else "", f"l{local}" if len(local) >= 5 else "", f"d{digits}" if len(digits) >= 7 else "")) if k]
+    word = core[:1].isupper() and len(core) >= 5 and core.isalpha()
+    return [k for k in dict.fromkeys((f"c{folded}" if len(folded) >= 6 else "", f"l{local}" if len(local) >= 5 else "", f"n{folded}" if word else "", f"d{digits}" if len(digits) >= 7 else "")) if k]
 
 
-FEATURES = ("bias", "at", "dots3", "octets", "digits_only", "long_digits", "luhn", "dash_digits", "plus", "letters", "hex", "equals", "short", *(f"base_{k}" for k in KINDS))
+FEATURES = ("bias", "at", "dots3", "octets", "digits_only", "long_digits", "luhn", "dash_digits", "plus", "letters", "hex", "equals", "short", "lead", "long_hex", "capitals", "long", "name", *(f"base_{k}" for k in KINDS))
 
 
 def features(t: Token, evidence: bool = True) -> list[float]:
     c = t.core
+    tail = c.rpartition("=")[2].strip(_EDGE)
     digits = sum("0" <= x <= "9" for x in c)
     parts = c.split(".")
     quads = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
@@ -151,6 +191,11 @@ def features(t: Token, evidence: bool = True) -> list[float]:
         len(c) >= 16 and digits > 3 and c.isalnum() and not digits == len(c),
         "=" in c,
         len(c) <= 4,
+        t.lead,
+        len(tail) >= 24 and digits >= 2 and all(x in "0123456789abcdefABCDEF" for x in tail),
+        len(tail) >= 16 and digits >= 2 and tail.isascii() and tail.isalnum() and tail.upper() == tail and not tail.isdigit(),
+        len(tail) >= 20,
+        c[0].isupper() and c.isalpha(),
         *[evidence and t.base == k + 1 for k in range(len(KINDS))],
     ]
 
@@ -216,12 +261,13 @@ class Field:
 
 
 def _gold(doc: list[Token]) -> list[int]:
-    """Weak labels: those of the patterns, also for tokens similar to one that a pattern found in the same document."""
-    of = {k: t.base for t in reversed(doc) if t.base for k in t.keys}
-    return [t.base or next((of[k] for k in t.keys if k in of), 0) for t in doc]
+    """Weak labels, also for tokens similar to one that has its own in the same document."""
+    own = [t.weak for t in doc]
+    of = {k: w for t, w in zip(reversed(doc), reversed(own), strict=True) if w for k in t.keys}
+    return [w or next((of[k] for k in t.keys if k in of), 0) for t, w in zip(doc, own, strict=True)]
 
 
-def train(docs: list[list[Token]], steps: int = 150, rate: float = 2.0, pull: float = 0.02, seed: int = 7) -> Field:
+def train(docs: list[list[Token]], steps: int = 400, rate: float = 2.0, pull: float = 0.001, seed: int = 7) -> Field:
     """Gradient ascent on the approximate likelihood, with a pull towards the prior."""
     field, prior = Field.prior(), Field.prior()
     docs = [d for d in docs if d]
@@ -236,7 +282,7 @@ def train(docs: list[list[Token]], steps: int = 150, rate: float = 2.0, pull: fl
     seen = gold[edges[:, 0]][:, :, None] * gold[edges[:, 1]][:, None, :]
     for step in range(steps):
         nodes, joint = field.infer(x, chain, skip, 4)
-        r, gap = rate / (1 + step / 50), seen - joint
+        r, gap = rate / (1 + step / 200), seen - joint
         field.unary += r * (x.T @ (gold - nodes) / len(toks) - pull * (field.unary - prior.unary))
         field.chain += r * (gap[:nc].sum(axis=0) / len(toks) - pull * field.chain)
         field.skip += r * (gap[nc:].sum(axis=0) / len(toks) - pull * (field.skip - prior.skip))
@@ -265,21 +311,35 @@ def added_spans(field: Field, found: list[tuple[list[Token], list[Span]]]) -> li
 
 
 def fit(docs: DataFrame, max_train: int = 20_000) -> Field:
-    """The field trained on the documents among ``max_train`` hash-chosen ids that hold a digit or an at sign."""
-    some = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").filter(F.col("text").rlike("[0-9@]"))
+    """The field trained on up to ``max_train`` tokens of the documents among as many hash-chosen ids."""
+    some = docs.filter("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_train)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    texts = texts.join(F.broadcast(some), F.col("doc_id") == F.col("_id"), "left_semi")
+    names = ["doc_id", "word", "core", "keys", "base", "lead", "part"]
+    schema = pa.schema([("doc_id", pa.int64()), ("word", pa.int64()), ("core", pa.string()), ("keys", pa.list_(pa.string())), ("base", pa.int64()), ("lead", pa.bool_()), ("part", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            found = [(doc, x) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in tokens(t, base_spans(t))]
+            yield pa.RecordBatch.from_pydict({n: [doc if n == "doc_id" else getattr(x, n) for doc, x in found] for n in names}, schema)
+
+    rows = texts.mapInArrow(run, "doc_id long, word long, core string, keys array<string>, base long, lead boolean, part boolean").orderBy(F.xxhash64("doc_id"), "doc_id", "word").limit(max_train)
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_doc: dict[int, list[Token]] = {}
+        n = 0
         for b in batches:
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                toks = tokens(t := text.as_py(), base_spans(t))
-                yield pa.RecordBatch.from_pydict({"doc_id": [doc.as_py()] * len(toks), "word": [x.word for x in toks], "core": [x.core for x in toks], "keys": [x.keys for x in toks], "base": [x.base for x in toks]}, pa.schema([("doc_id", pa.int64()), ("word", pa.int64()), ("core", pa.string()), ("keys", pa.list_(pa.string())), ("base", pa.int64())]))
+            n += b.num_rows
+            for r in b.to_pylist():
+                by_doc.setdefault(r["doc_id"], []).append(Token(0, 0, r["word"], r["core"], r["keys"], r["base"], r["lead"], r["part"]))
+        if n >= max_train and len(by_doc) > 1:
+            by_doc.popitem()  # the last one may be cut short
+        field = train(list(by_doc.values()))
+        yield pa.RecordBatch.from_arrays([pa.array([m.astype(float).tobytes()], pa.binary()) for m in (field.unary, field.chain, field.skip)], ["unary", "chain", "skip"])
 
-    rows = texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, word long, core string, keys array<string>, base long").orderBy(F.xxhash64("doc_id"), "doc_id", "word").limit(max_train).collect()
-    by_doc: dict[int, list[Token]] = {}
-    for r in rows:
-        by_doc.setdefault(r.doc_id, []).append(Token(0, 0, r.word, r.core, r.keys, r.base))
-    return train(list(by_doc.values()))
+    n = len(LABELS)
+    row = rows.repartition(1).mapInArrow(trained, "unary binary, chain binary, skip binary").first()
+    return Field(*(np.frombuffer(bytes(m)).reshape(-1, n) for m in row)) if row else Field.prior()
 
 
 def analysed(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
@@ -291,18 +351,17 @@ def analysed(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span
 
 def found(docs: DataFrame, field: Field) -> DataFrame:
     """Counts, digest and spans of every row."""
-    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"]
+    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                both = analysed([t or "" for t in b.column(1).to_pylist()], field)
-                counts = [pa.array([sum(k == kind for _, k, _ in base) for base, _ in both], pa.int64()) for kind in range(len(KINDS))]
-                digest = pa.array([hashlib.sha256(written_spans(base).encode()).hexdigest() for base, _ in both], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([written_spans(a) for _, a in both], pa.string()), pa.array([len(a) - len(base) for base, a in both], pa.int64())], names)
+        for b in slices(batches, "text"):
+            both = analysed([t or "" for t in b.column(1).to_pylist()], field)
+            counts = [pa.array([sum(k == kind for _, k, _ in base) for base, _ in both], pa.int64()) for kind in range(len(KINDS))]
+            digest = pa.array([hashlib.sha256(written_spans(base).encode()).hexdigest() for base, _ in both], pa.string())
+            sizes = [pa.array(x, pa.int64()) for x in ([len(a) - len(base) for base, a in both], [len(a) for _, a in both])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([written_spans(a) for _, a in both], pa.string()), *sizes], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -310,7 +369,7 @@ def masked(text: str, spans: list[Span]) -> str:
     out, at = [], 0
     for a, k, b in spans:
         if a >= at:
-            out += [text[at:a], f"<{KINDS[k].upper()}>"]
+            out += [text[at:a], f"<{ALL_KINDS[k].upper()}>"]
         at = max(at, b)
     return "".join(out) + text[at:]
 
@@ -325,16 +384,14 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     field = fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                k, n = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
-                texts = b.column(k).to_pylist()
-                both = analysed([t or "" for t in texts], field)
-                new = [t if t is None or not s else masked(t, s) for t, (_, s) in zip(texts, both, strict=True)]
-                b = b.set_column(k, b.schema.field(k), pa.array(new, b.schema.field(k).type))
-                if n >= 0:
-                    b = b.set_column(n, b.schema.field(n), pa.array([None if t is None else len(t) for t in new], b.schema.field(n).type))
-                yield b
+        for b in slices(batches, "text"):
+            k, n = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
+            texts = b.column(k).to_pylist()
+            both = analysed([t or "" for t in texts], field)
+            new = [t if t is None or not s else masked(t, s) for t, (_, s) in zip(texts, both, strict=True)]
+            b = b.set_column(k, b.schema.field(k), pa.array(new, b.schema.field(k).type))
+            if n >= 0:
+                b = b.set_column(n, b.schema.field(n), pa.array([None if t is None else len(t) for t in new], b.schema.field(n).type))
+            yield b
 
     return docs.mapInArrow(run, docs.schema)

@@ -38,12 +38,13 @@ def test_long_runs_take_linear_time():
 
 def test_messages_are_exact_on_trees():
     rng = np.random.default_rng(3)
-    f = pii.Field(rng.normal(size=(len(pii.FEATURES), 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
+    m = len(pii.LABELS)
+    f = pii.Field(rng.normal(size=(len(pii.FEATURES), m)), rng.normal(size=(m, m)), rng.normal(size=(m, m)))
     x = rng.random((4, len(pii.FEATURES)))
     chain, skip = np.array([[0, 1], [1, 2]]), np.array([[1, 3]])
     nodes, joint = f.infer(x, chain, skip, 60)
-    want, pair = np.zeros((4, 5)), np.zeros((5, 5))
-    for y in itertools.product(range(5), repeat=4):
+    want, pair = np.zeros((4, m)), np.zeros((m, m))
+    for y in itertools.product(range(m), repeat=4):
         w = np.exp(sum((x @ f.unary)[i, y[i]] for i in range(4)) + f.chain[y[0], y[1]] + f.chain[y[1], y[2]] + f.skip[y[1], y[3]])
         for i in range(4):
             want[i, y[i]] += w
@@ -73,6 +74,36 @@ def test_repeats_without_a_digit_are_labelled():
         assert len(pii.tokens(text, base)) == 2
 
 
+def test_parts_of_an_address_are_names_wherever_they_repeat():
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    lines = []
+    for i in range(80):
+        a, b = word(), word()
+        lines.append(f"{a.title()} {b.title()} wrote to {a}.{b}@mail{i}.example.com, {b.title()} said {i + 11} times. Then {word().title()} left")
+    field = pii.train([pii.tokens(t, pii.base_spans(t)) for t in lines])
+    text = "Maria Lopez <maria.lopez@example.com> met Carla. " + "filler words here " * 60 + "then Lopez came in 2021, with Maria; a lopez too"
+    _, every = pii.analysed([text], field)[0]
+    assert sorted(text[a:b] for a, k, b in every if pii.ALL_KINDS[k] == "name") == ["Lopez", "Lopez", "Maria", "Maria"]
+    cut = pii.Field(field.unary, field.chain, 0 * field.skip)
+    loose = "The Vgadbei code " + "word " * 50
+    assert pii.analysed([loose], cut)[0] == ([], [])
+
+
+def test_the_field_finds_secrets_in_the_corpus(spark):
+    """Held-out documents: those with a key have an added span there, and few others have one."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").filter("text is not null")
+    field = pii.fit(docs.filter("doc_id % 2 = 0"))
+    rows = docs.filter("doc_id % 2 = 1").collect()
+    key = re.compile(r"AKIA[A-Z0-9]{16}|[0-9a-f]{32,}")
+    with_key = [r.text for r in rows if key.search(r.text)]
+    for text, (base, every) in zip(with_key, pii.analysed(with_key, field), strict=True):
+        assert any(a <= m.start() < b for m in key.finditer(text) for a, _, b in every if (a, _, b) not in base)
+    clean = [r.text for r in rows if not key.search(r.text) and not pii.base_spans(r.text)]
+    wrong = sum(len(every) > len(base) for base, every in pii.analysed(clean, field))
+    assert with_key and wrong <= 0.001 * len(clean)
+
+
 def test_query(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in pii.op6_pii(spark, small).collect():
