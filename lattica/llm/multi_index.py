@@ -176,7 +176,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPL
     dealt = base.withColumns({"block": F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)), "asks": F.lit(False)})
     asking = asked.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "asks": F.lit(True)})
     names = ["block", "asks", "vec_id", "v"]
-    both = dealt.select(names).unionAll(asking.select(names)).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    # more partitions than blocks, so that few of them share one
+    both = dealt.select(names).unionAll(asking.select(names)).repartition(4 * blocks, "block").sortWithinPartitions("block", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, block = None, [], None
