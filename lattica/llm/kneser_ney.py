@@ -8,11 +8,12 @@ Scoring is joins of counts, sharded by n-gram: each partition of the documents a
 all partitions, and their suffixes, meet the count tables order by order, which gives the interpolated probability of
 each; the answers go back to the partitions that asked, where they meet the documents and are summed. A task holds the
 answers of one partition, a bounded portion of its texts' n-grams, and never the model. Verdicts compare a document's
-perplexity for a byte with quantiles of the held-out documents of its language.
+perplexity for a byte with quantiles of the trusted documents of its language: the lower bound is one of all of them,
+the upper one of those held out.
 
 Defined cases: null and empty texts have no perplexity and are not kept; a null language is a language of its own; a
-language with fewer than ``FEW`` held-out documents uses the quantiles of all, and without any those of all trusted
-ones; rows without doc_id and repeated rows are scored like any others; without trusted texts every byte is equally
+language with fewer than ``FEW`` held-out documents uses the quantiles of all languages, and where none is held out
+the upper bound is one of all trusted documents; rows without doc_id and repeated rows are scored like any others; without trusted texts every byte is equally
 likely and every non-empty text is kept; texts of any length are taken in portions; an empty table gives an empty
 result; further columns are ignored.
 """
@@ -35,7 +36,8 @@ ORDER = 5
 DISTINCT = 4_000_000
 #: Trusted ids that are broadcast (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-LOW, HIGH, FEW, HELD = 0.005, 0.995, 50, 5
+#: Quantile of all trusted documents below which texts are too even, and of those held out above which they are odd.
+LOW, HIGH, FEW, HELD = 0.001, 0.99, 50, 5
 #: Bytes of texts whose n-grams are held at once.
 BATCH_BYTES = 2 << 20
 
@@ -226,13 +228,14 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     own = docs.join(good.filter("not held"), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text"))
     rows = written(scored(docs, own, order), "scored")
     trusted = rows.join(good, "doc_id").filter("perplexity is not null")
-    cut = F.percentile_approx("perplexity", F.array(F.lit(LOW), F.lit(HIGH)), 100_000)
-    wholes = {r.held: r.q for r in trusted.groupBy("held").agg(cut.alias("q")).collect()}
-    whole = wholes.get(True) or wholes.get(False) or [0.0, float("inf")]
-    by_lang = trusted.filter("held").groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("n"), cut.alias("q")).filter(F.col("n") >= FEW)
+    cut = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(100_000))
+    held = F.when(F.col("held"), F.col("perplexity"))
+    cuts = [F.count(held).alias("n"), cut(F.col("perplexity"), LOW).alias("_low"), F.coalesce(cut(held, HIGH), cut(F.col("perplexity"), HIGH)).alias("_high")]
+    whole = trusted.agg(*cuts).first()
+    by_lang = trusted.groupBy(F.col("lang").alias("_lang")).agg(*cuts).filter(F.col("n") >= FEW)
     out = rows.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    low, high = (F.coalesce(F.col("q")[k], F.lit(float(whole[k]))) for k in (0, 1))
-    out = out.withColumns({"low": low, "high": high})
+    rest = [0.0, float("inf")] if whole["_low"] is None else [whole["_low"], whole["_high"]]
+    out = out.withColumns({"low": F.coalesce("_low", F.lit(float(rest[0]))), "high": F.coalesce("_high", F.lit(float(rest[1])))})
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "low", "high", F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False)).alias("kept"))
 
 

@@ -216,14 +216,13 @@ def test_query_against_brute_force(spark, tmp_path):
             logs.append(known[g])
         want[d] = float(np.exp(-np.mean(logs))) if t else None
     assert len(out) == 300
-    own = np.sort([want[d] for d in held if want[d]])
-    rank = lambda q: own[max(0, int(np.ceil(q * len(own))) - 1)]
+    rank = lambda ids, q: (own := np.sort([want[d] for d in ids if want[d]]))[max(0, int(np.ceil(q * len(own))) - 1)]
     for r in out.itertuples():
         if want[r.doc_id] is None:
             assert np.isnan(r.perplexity) and not r.kept
             continue
         assert r.perplexity == pytest.approx(want[r.doc_id], rel=1e-9)
-        assert (r.low, r.high) == pytest.approx((rank(kneser_ney.LOW), rank(kneser_ney.HIGH)), rel=1e-9)
+        assert (r.low, r.high) == pytest.approx((rank(trusted, kneser_ney.LOW), rank(held, kneser_ney.HIGH)), rel=1e-9)
         assert r.kept == (r.low <= r.perplexity <= r.high)
 
 
