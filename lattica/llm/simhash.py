@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm._common import table, written
+from lattica.llm._common import slices, table, written
 from lattica.llm._components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -33,28 +33,37 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 LARGEST, TILE = 4096, 512
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
-    """64-bit fingerprint: a bit is 1 if set in over half of the shingles' hashes."""
+def shingles(text: str | None, k: int) -> np.ndarray:
+    """Hashes of the k-word shingles, repeats included; of the whole sequence, if it is shorter; none without words."""
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not ws:
-        return 0
+        return np.zeros(0, np.uint64)
     flat, n = b" ".join(ws), max(1, len(ws) - k + 1)
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)], np.uint64)
+    return np.array([h(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+    """64-bit fingerprint: a bit is 1 if set in over half of the shingles' hashes."""
+    return majority(shingles(text, k))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp); fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
+        for b in slices(batches, "text"):
+            fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
