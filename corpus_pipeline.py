@@ -13,12 +13,12 @@ from lattica.llm.decision_rules import rules_stage
 from lattica.llm.line_chunks import line_stage
 from lattica.llm.packing import packing_stage
 from lattica.llm.pii import pii_stage
-from lattica.llm.simhash import simhash_stage
+from lattica.llm.similar import similar_stage
 
 STAGES = [
     ("quality rules", rules_stage),
     ("line dedup", line_stage),
-    ("near-duplicates", simhash_stage),
+    ("near-duplicates", similar_stage),
     ("personal data", pii_stage),
     ("packing", packing_stage),
 ]
