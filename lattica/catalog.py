@@ -495,8 +495,7 @@ def shipping_priority(spark, d):
 def _scratch(spark: SparkSession, name: str) -> str:
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{iterate.shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
@@ -594,3 +593,6 @@ def session_windows(spark, d):
 
 
 __all__ = ["ORACLES", "QUERIES", "query", "rel"]
+
+
+from lattica import language_queries  # noqa: E402, F401  registers its queries here

@@ -39,6 +39,9 @@ class Rows:
 
 Aggregate = Columns | Rows
 
+#: States of a user aggregate that a task holds before it hands them on.
+STATES = 100_000
+
 
 def count(out: str = "count", as_json: bool = False) -> Columns:
     """Number of rows, nulls included."""
@@ -121,8 +124,30 @@ def distinct(names: list[str], null_check: bool | list[str] = False) -> Rows:
     return Rows(run)
 
 
-def order_by(order: dict[str, str], limit: int | None = None, rank: str | None = None) -> Rows:
-    return Rows(lambda df, keys: ranking.order_by(df, order, limit, rank, keys))
+def order_by(order: dict[str, str], limit: int | None = None, rank: str | None = None, keep_ties: bool | None = None) -> Rows:
+    return Rows(lambda df, keys: ranking.order_by(df, order, limit, rank, keys, keep_ties))
+
+
+def multi_hash(keys: list[str], values: list[str]) -> Rows:
+    """State that maps a key to all of its values: rows of the key columns, then the value columns."""
+    return Rows(lambda df, outer: df.select(*outer, *keys, *values))
+
+
+def interval_map(lower: str, upper: str, values: list[str]) -> Rows:
+    """State that maps closed intervals to values; empty intervals are left out, and overlapping ones all count."""
+    return Rows(lambda df, outer: df.filter(F.col(lower) <= F.col(upper)).select(*outer, lower, upper, *values))
+
+
+def iterable(state: Any, step: Callable[[DataFrame, Any], Any], again: Callable[[Any, Any, int], bool], finish: Callable[[Any], list[tuple]], schema: str, max_rounds: int = 100) -> Rows:
+    """Aggregate that asks for another round over the same rows while ``again`` says so; ``finish`` gives its rows."""
+    from lattica.operators import iterate
+
+    def run(df: DataFrame, keys: list[str]) -> DataFrame:
+        if keys:
+            raise ValueError("an iterable aggregate within groups is iterate.iterate_groups")
+        return df.sparkSession.createDataFrame(finish(iterate.iterate_aggregate(df, state, step, again, max_rounds)[0]), schema)
+
+    return Rows(run)
 
 
 def top_k(score: str, k: int, tie_break: list[str] | None = None) -> Rows:
@@ -171,13 +196,15 @@ def multiplex(parts: list[Aggregate]) -> Aggregate:
     def run(df: DataFrame, keys: list[str]) -> DataFrame:
         from pyspark.sql.window import Window
 
-        laid, sizes = [], []
+        laid = []
         for i, p in enumerate(parts):
             own = p.apply(df, keys)
             rest = [c for c in own.columns if c not in keys]
-            w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-            laid.append((own.withColumns({"__pos": F.row_number().over(w.orderBy(*rest)), f"__n{i}": F.count(F.lit(1)).over(w)}), rest))
-            sizes.append(f"__n{i}")
+            if keys:
+                placed = own.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest)).cast("long"))
+            else:
+                placed = ranking.global_position(own, [F.col(c) for c in rest], "__pos")
+            laid.append((placed, rest))
         most = None
         for i, (own, _) in enumerate(laid):
             n = own.select(*keys, "__pos")
@@ -193,15 +220,22 @@ def multiplex(parts: list[Aggregate]) -> Aggregate:
     return Rows(run)
 
 
-def segment(key: str, inner: Aggregate, segments: int = 64) -> Rows:
+def segment(key: str, inner: Aggregate, segments: int = 64, passes: int = 1) -> Rows:
     """``inner`` in each hash segment of the key, and the union of the results.
 
-    Right if ``inner`` treats different keys apart. The shuffle by segment takes the place of passes over the input.
+    Right if ``inner`` treats different keys apart. Each of several passes reads the input again and takes its share of
+    the segments, which bounds what is shuffled at once.
     """
+    if passes < 1:
+        raise ValueError("passes must be positive")
 
     def run(df: DataFrame, keys: list[str]) -> DataFrame:
-        own = df.withColumn("__segment", F.pmod(F.xxhash64(key), F.lit(segments)))
-        return inner.apply(own, [*keys, "__segment"]).drop("__segment")
+        own, out = df.withColumn("__segment", F.pmod(F.xxhash64(key), F.lit(segments * passes))), None
+        for n in range(passes):
+            mine = own if passes == 1 else own.filter(F.pmod("__segment", F.lit(passes)) == n)
+            part = inner.apply(mine, [*keys, "__segment"]).drop("__segment")
+            out = part if out is None else out.unionByName(part)
+        return out
 
     return Rows(run)
 
@@ -248,11 +282,19 @@ class UserAggregate:
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             states: dict[tuple, Any] = {}
+
+            def out() -> pd.DataFrame:
+                return pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*keys, "__state"])
+
             for pdf in batches:
-                for row in pdf.itertuples(index=False):
-                    key = tuple(row[: len(keys)])
+                columns = [pdf[c].tolist() for c in pdf.columns]
+                for row in zip(*columns, strict=True):
+                    key = row[: len(keys)]
                     states[key] = add(states[key] if key in states else init(), *row[len(keys) :])
-            yield pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*keys, "__state"])
+                if len(states) > STATES:  # partial states are merged anyway
+                    yield out()
+                    states.clear()
+            yield out()
 
         def merged(pdf: pd.DataFrame) -> Any:
             out = init()

@@ -8,10 +8,20 @@ from functools import reduce
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; on one machine, where none is named, one beside the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, every: bool = True) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the folder that the cluster shares."""
     if not every:
@@ -19,8 +29,7 @@ def cut(df: DataFrame, every: bool = True) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints-{uuid.uuid4().hex}"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -59,6 +68,38 @@ def iterate_state(state: DataFrame, step: Callable[[DataFrame, int], DataFrame],
     return reduce(DataFrame.unionByName, rounds) if keep_rounds else state
 
 
+def iterate_groups(df: DataFrame, keys: list[str], first: dict[str, Column], step: dict[str, Column], again: Column | None = None, max_rounds: int = 20) -> DataFrame:
+    """Rounds of an aggregate within each group, which sees its group's state of the round before as columns.
+
+    ``first`` aggregates the opening state of each group, ``step`` the next one, from the rows and the state's columns.
+    A group goes on while ``again`` holds, a test of the new state (as named) against the old (``old_`` before the
+    name); without it, all groups take ``max_rounds``. The state is a frame with one row for each group; every round is
+    one join and one aggregate, for the groups that go on alone.
+    """
+    names = list(first)
+    df = df.persist()
+    try:
+        state = df.groupBy(*keys).agg(*[c.alias(n) for n, c in first.items()])
+        done = None
+        for _ in range(max_rounds):
+            state = cut(state)
+            new = df.join(state, keys).groupBy(*keys).agg(*[c.alias(f"__{n}") for n, c in step.items()])
+            both = new.join(state.withColumnsRenamed({n: f"old_{n}" for n in names}), keys).withColumnsRenamed({f"__{n}": n for n in names})
+            if again is None:
+                state = both.select(*keys, *names)
+                continue
+            both = cut(both.withColumn("__again", F.coalesce(again, F.lit(False))))
+            over = both.filter("not __again").select(*keys, *names)
+            done = over if done is None else done.unionByName(over)
+            state = both.filter("__again").select(*keys, *names)
+            if state.isEmpty():
+                break
+        state = cut(state)
+        return state if done is None else done.unionByName(state)
+    finally:
+        df.unpersist()
+
+
 def halt_after(rounds: int) -> Callable[[Any, Any, int], bool]:
     """Convergence rule: stop after so many rounds."""
     return lambda old, new, n: n >= rounds

@@ -54,13 +54,33 @@ def with_state(left: DataFrame, left_keys: list[str], state: DataFrame, state_ke
 
 
 def _binned(points: DataFrame, value: str, intervals: DataFrame, lower: str, upper: str, width: float, keys: list[tuple[str, str]], closed: bool, how: str) -> DataFrame:
-    """Join on the bin of the value and each bin that an interval touches; exact bounds are tested again."""
-    bin_of = lambda c: F.floor(c.cast("double") / width).cast("long")
-    spread = intervals.withColumn("__bin", F.explode(F.sequence(bin_of(F.col(lower)), bin_of(F.col(upper)))))
-    at = points.withColumn("__at", bin_of(F.col(value)))
-    inside = (at[value] >= spread[lower]) & ((at[value] <= spread[upper]) if closed else (at[value] < spread[upper]))
-    test = reduce(lambda x, y: x & y, [at["__at"] == spread["__bin"], inside, *[at[a] == spread[b] for a, b in keys]])
-    return at.join(spread, test, how).drop("__at", "__bin")
+    """Join on the bin of the value and each bin that an interval touches; exact bounds are tested again.
+
+    Bins double in width from level to level, and an interval lies on the level where it touches few bins, however long
+    it is. The levels in use, at most some dozens, are gathered; a value is looked up on each of them.
+    """
+    long = F.greatest(F.lit(1.0), (F.col(upper).cast("double") - F.col(lower).cast("double")) / width)
+    placed = intervals.withColumn("__level", F.ceil(F.log2(long)).cast("int"))
+    levels = sorted(r[0] for r in placed.select("__level").distinct().collect() if r[0] is not None) or [0]
+    bin_of = lambda c, level: F.floor(c.cast("double") / (width * F.pow(F.lit(2.0), level))).cast("long")
+    spread = placed.withColumn("__bin", F.explode(F.sequence(bin_of(F.col(lower), F.col("__level")), bin_of(F.col(upper), F.col("__level")))))
+
+    def met(at: DataFrame, side: DataFrame, way: str) -> DataFrame:
+        inside = (at[value] >= side[lower]) & ((at[value] <= side[upper]) if closed else (at[value] < side[upper]))
+        test = reduce(lambda x, y: x & y, [at["__on"] == side["__level"], at["__at"] == side["__bin"], inside, *[at[a] == side[b] for a, b in keys]])
+        return at.join(side, test, way)
+
+    def looked_up(rows: DataFrame, on: list[int]) -> DataFrame:
+        own = rows.withColumn("__on", F.explode(F.array(*[F.lit(x) for x in on]))) if len(on) > 1 else rows.withColumn("__on", F.lit(on[0]))
+        return own.withColumn("__at", bin_of(F.col(value), F.col("__on")))
+
+    extra = ["__on", "__at", "__level", "__bin"]
+    if how == "inner" or len(levels) == 1:
+        return met(looked_up(points, levels), spread, how).drop(*extra)
+    rest = points
+    for level in levels:
+        rest = met(looked_up(rest, [level]), spread, "left_anti").drop("__on", "__at")
+    return met(looked_up(points, levels), spread, "inner").drop(*extra).unionByName(rest, allowMissingColumns=True)
 
 
 def interval_join(points: DataFrame, value: str, intervals: DataFrame, lower: str, upper: str, width: float, keep_missing: bool = False) -> DataFrame:
@@ -90,15 +110,27 @@ def group_interval_join(points: DataFrame, keys: list[str], value: str, interval
     return points.join(real, _equal(points, real, pairs, False) & (points[value] >= real[lower]) & (points[value] < real[upper]), how)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, take: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, take: list[str], bucket_seconds: int | None = None) -> DataFrame:
     """Each left row with the last right row of its key at or before its time; null if there is none.
 
     Both sides are laid into one stream and the last known values carried forward, so that a key is sorted once and
-    never paired with itself.
+    never paired with itself. With ``bucket_seconds`` a key's stream is cut into buckets of time, for keys that are too
+    hot for one task; each bucket opens with the last values of those before it, of which there is one row for each.
     """
     stamped = left.withColumns({"__t": F.col(left_time), "__left": F.lit(1), **{f"__{c}": F.lit(None).cast(right.schema[c].dataType) for c in take}})
     other = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__left"), *[F.col(c).alias(f"__{c}") for c in take])
     both = stamped.unionByName(other, allowMissingColumns=True)
-    past = Window.partitionBy(*keys).orderBy("__t", "__left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = both.withColumn("__last", F.last(F.when(F.col("__left") == 0, F.struct(*[F.col(f"__{c}").alias(c) for c in take])), ignorenulls=True).over(past))
+    known = F.when(F.col("__left") == 0, F.struct(*[F.col(f"__{c}").alias(c) for c in take]))
+    by = list(keys)
+    if bucket_seconds:
+        both = both.withColumn("__bucket", F.floor(F.unix_seconds(F.col("__t").cast("timestamp")) / bucket_seconds))
+        by.append("__bucket")
+    past = Window.partitionBy(*by).orderBy("__t", "__left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = both.withColumn("__last", F.last(known, ignorenulls=True).over(past))
+    if bucket_seconds:
+        closing = both.groupBy(*by).agg(F.max_by(known, F.when(F.col("__left") == 0, F.col("__t"))).alias("__carry"))
+        before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        opening = closing.select(*[F.col(k).alias(f"__k_{k}") for k in by], F.last("__carry", ignorenulls=True).over(before).alias("__carry"))
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by])
+        filled = filled.filter("__left = 1").join(opening, same, "left").withColumn("__last", F.coalesce("__last", "__carry"))
     return filled.filter("__left = 1").select(*left.columns, *[F.col("__last")[c].alias(c) for c in take])

@@ -35,12 +35,15 @@ def global_position(df: DataFrame, order: list[Column], out: str, first: int = 1
     return joined.withColumn(out, (F.col("__before") + F.col(own) - 1 + first).cast("long")).drop(pid, own, "__before")
 
 
-def order_by(df: DataFrame, order: dict[str, str], limit: int | None = None, rank: str | None = None, keys: list[str] | None = None) -> DataFrame:
+def order_by(df: DataFrame, order: dict[str, str], limit: int | None = None, rank: str | None = None, keys: list[str] | None = None, keep_ties: bool | None = None) -> DataFrame:
     """Sorted rows, the first ``limit`` of them, or the first of each group; ``rank`` names the position from 1.
 
-    Ties at the limit are cut; order by a unique column too if it matters which rows stay.
+    Ties at the limit are cut. ``keep_ties`` settles which of the tied rows stay: those that come first (True) or last
+    (False) in the order of their other columns.
     """
     by = [direction(n, w) for n, w in order.items()]
+    if keep_ties is not None:
+        by += [direction(c, "ASC" if keep_ties else "DESC") for c in df.columns if c not in order and c not in (keys or [])]
     if keys:
         ranked = df.withColumn(rank or "__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
         out = ranked if limit is None else ranked.filter(F.col(rank or "__rank") <= limit)
@@ -49,7 +52,7 @@ def order_by(df: DataFrame, order: dict[str, str], limit: int | None = None, ran
         top = df.orderBy(*by).limit(limit)
         # at most ``limit`` rows meet in one task
         return top.withColumn(rank, F.row_number().over(Window.orderBy(*by))) if rank else top
-    return global_position(df, by, rank).orderBy(rank) if rank else df.orderBy(*by)
+    return global_position(df, by, rank) if rank else df.orderBy(*by)  # positions come in order: range partitions, sorted
 
 
 def top_k(df: DataFrame, score: str, k: int, tie_break: list[str] | None = None) -> DataFrame:

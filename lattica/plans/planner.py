@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable
-from typing import Any
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import arrays, dates, geo, maths, network, text
 from lattica.operators import aggregates as agg
-from lattica.operators import filters, joins, transforms
+from lattica.operators import filters, iterate, joins, transforms
 from lattica.plans.lexer import ProgramError
 from lattica.plans.parser import Functor, Statement, parse
 from lattica.sources import csv, sinks, tables
@@ -55,13 +56,28 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
 }
 
 
+@dataclass
+class State:
+    """What an aggregate or iteration with AS SELF leaves: its rows, and how many of the first columns are keys."""
+
+    frame: DataFrame
+    keys: int | None = None
+
+
 class Planner:
-    """Runs statements in order; names map to DataFrames, and GLA results AS SELF to states."""
+    """Runs statements in order; names map to DataFrames, and results AS SELF to states for REQUIRES.
+
+    ``functions``, ``operators``, ``filters``, ``transforms``, ``aggregates`` and ``iterations`` take what users add:
+    functions and operators from columns to a column, the others as their built-in counterparts are called.
+    """
 
     def __init__(self, load: Callable[[str], DataFrame], relations: tables.Relations | None = None):
         self.load, self.relations = load, relations
         self.frames: dict[str, DataFrame] = {}
-        self.states: dict[str, Any] = {}
+        self.states: dict[str, State] = {}
+        self.functions: dict[str, Callable[..., Column]] = {}
+        self.operators: dict[str, Callable[[Column, Column], Column]] = {}
+        self.iterations: dict[str, Callable[..., DataFrame]] = {"KMeans": k_means, "Rounds": rounds_of}
         self.aliases: dict[str, Functor] = {}
         self.printed: list[DataFrame] = []
         self.job: str | None = None
@@ -80,6 +96,19 @@ class Planner:
             getattr(self, f"on_{s.op}")(s)
         return self.frames
 
+    def register_function(self, name: str, f: Callable[..., Column]) -> None:
+        """A scalar function for expressions, in any casing; it takes the place of a built-in one."""
+        self.functions[name.lower()] = f
+
+    def register_operator(self, symbol: str, f: Callable[[Column, Column], Column]) -> None:
+        """A meaning of its own for a binary operator."""
+        if symbol not in _BINARY:
+            raise ProgramError(f"{symbol} is no binary operator")
+        self.operators[symbol] = f
+
+    def state(self, name: str) -> State:
+        return self.states[name] if name in self.states else State(self.frame(name))
+
     def frame(self, name: str) -> DataFrame:
         if name not in self.frames:
             raise ProgramError(f"{name} is not defined")
@@ -97,7 +126,7 @@ class Planner:
                 name = name.split(".")[-1]
             return F.col(name)
         if kind == "binary":
-            return _BINARY[e[1]](self.column(e[2], df), self.column(e[3], df))
+            return (self.operators.get(e[1]) or _BINARY[e[1]])(self.column(e[2], df), self.column(e[3], df))
         if kind == "unary":
             c = self.column(e[2], df)
             return {"+": lambda: c, "-": lambda: -c, "~": lambda: maths.bit_not(c), "!": lambda: ~c}[e[1]]()
@@ -111,6 +140,8 @@ class Planner:
 
     def call(self, name: str, template: dict, arguments: list[tuple], df: DataFrame | None) -> Column:
         args, low = [self.column(a, df) for a in arguments], name.split(".")[-1].lower()
+        if low in self.functions:
+            return self.functions[low](*args, **template)
         if low == "contains":
             return maths.among(args[0], template["values"])
         if low == "match":
@@ -165,6 +196,29 @@ class Planner:
             options["line_number"], columns = columns[0][0], columns[1:]
         self.frames[s.target] = csv.read_csv(self.spark, p["paths"], columns, **options)
 
+    def on_text_load(self, s: Statement) -> None:
+        p = s.parts
+        columns = p["columns"] or [(x.name, _logical(x.dataType.typeName())) for x in self.relations.schemas[p["relation"]]]
+        self.frames[s.target] = csv.read_text(self.spark, p["paths"], columns, p["sep"])
+
+    def on_step(self, s: Statement) -> None:
+        f = self.functor(s.parts["functor"])
+        name = f.name.split(".")[-1]
+        if name not in self.iterations:
+            raise ProgramError(f"unknown iteration {f.name}")
+        result = self.iterations[name](self.spark, [self.state(n).frame for n in s.parts["states"]], *f.arguments, **{k.replace(".", "_"): v for k, v in f.template.items()})
+        self.finish(s, result)
+
+    def finish(self, s: Statement, result: DataFrame, keys: int | None = None) -> None:
+        """Keep a result under its target, as a state too if it is AS SELF, else with its outputs' names and types."""
+        if s.parts["self"]:
+            self.states[s.target] = State(result, keys)
+        elif s.op == "step" and s.parts["outputs"]:
+            result = result.toDF(*[n for n, _ in s.parts["outputs"]])
+        for n, k in s.parts["outputs"]:
+            result = result.withColumn(n, maths.convert(F.col(n), k)) if k else result
+        self.frames[s.target] = result
+
     def on_filter(self, s: Statement) -> None:
         df = self.frame(s.parts["input"])
         self.frames[s.target] = filters.filter_by(df, *[self.column(e, df) for e in s.parts["tests"]])
@@ -179,7 +233,7 @@ class Planner:
             out = df.filter(text.matches(using[0], f.template.get("pattern") or f.arguments[0]))
         elif name in self.filters:
             inputs = {f"__{i}": c for i, c in enumerate(using)}
-            states = [self.frame(n) for n in s.parts["states"]]
+            states = [self.state(n).frame for n in s.parts["states"]]
             out = filters.filter_with(df.withColumns(inputs), self.filters[name], *inputs, states=states, **f.template).drop(*inputs)
         else:
             raise ProgramError(f"unknown filter {f.name}")
@@ -225,7 +279,8 @@ class Planner:
         if p["path"]:
             sinks.print_to(df, columns, p["path"], p["kind"], p["header"] is not None, p["sep"], p["limit"])
         else:
-            self.printed.append(sinks.printed(df, columns, p["kind"], p["sep"], p["limit"]))
+            lines = sinks.printed(df, columns, p["kind"], p["sep"], p["limit"])
+            self.printed.append(sinks.with_types(lines, df, columns) if p["kind"] == "json" else lines)
 
     def on_create(self, s: Statement) -> None:
         self.relations.create(s.target, s.parts["columns"])
@@ -240,9 +295,8 @@ class Planner:
         by = s.parts["by"] or self.clustered.get(s.target)
         if by is None:
             raise ProgramError(f"CLUSTER {s.target} needs BY the first time")
-        rows = sinks.cluster(self.relations.load(s.target), by, self.relations.path(s.target) + ".clustered")
+        self.frames[f"{s.target}_zones"] = self.relations.cluster(s.target, by)
         self.clustered[s.target] = by
-        self.frames[f"{s.target}_zones"] = rows
 
     # processors
 
@@ -259,17 +313,25 @@ class Planner:
             if e[0] != "column" or name:
                 df = df.withColumn(own, self.column(e, df))
             names.append(own)
-        f = Functor(f.kind, f.name, {**f.template, **p["parameters"]}, f.arguments)
+        parameters = p["parameters"]
+        if "parameter_file" in p:
+            parameters = json.loads("".join(r[0] for r in self.spark.read.text(p["parameter_file"], wholetext=True).collect()))
+        f = Functor(f.kind, f.name, {**f.template, **parameters}, f.arguments)
         outputs = [n for n, _ in p["outputs"]]
         if f.kind == "GT":
             self.frames[s.target] = self.transform(f, df, names, outputs, p["states"])
             return
-        aggregate = self.aggregate(f, names, outputs)
-        result = agg.evaluate(df, aggregate)
-        kinds = {n: k for n, k in p["outputs"] if k}
-        for n, k in kinds.items():
-            result = result.withColumn(n, maths.convert(F.col(n), k))
-        self.frames[s.target] = result
+        if p["states"] and f.name.split(".")[-1] in self.aggregates:
+            f.template = {**f.template, "states": [self.state(n).frame for n in p["states"]]}
+        result = agg.evaluate(df, self.aggregate(f, names, outputs))
+        self.finish(s, result, self.key_count(f, names))
+
+    def key_count(self, f: Functor, inputs: list[str]) -> int | None:
+        """How many of a state's first columns are keys, where its aggregate says so."""
+        name = f.name.split(".")[-1]
+        if name in ("Multi_Hash", "Hash"):
+            return int(f.template.get("split", 1))
+        return len(f.template["group"]) if name == "GroupBy" else None
 
     def aggregate(self, f: Functor, inputs: list[str], outputs: list[str]) -> agg.Aggregate:
         """An aggregate by name over named inputs, with outputs renamed in order."""
@@ -282,7 +344,11 @@ class Planner:
         simple: dict[str, Callable[[], agg.Aggregate]] = {
             "Count": lambda: agg.count(first, bool(t.get("as.json", False))),
             "Sum": lambda: agg.sums(one_each),
-            "Average": lambda: agg.averages(one_each),
+            "Average": lambda: renamed(agg.count_sum_average(inputs[0]), ["count", "sum", "average"], outputs) if len(outputs) == 3 and len(inputs) == 1 else agg.averages(one_each),
+            "Multi_Hash": lambda: agg.multi_hash(inputs[: int(t.get("split", 1))], inputs[int(t.get("split", 1)) :]),
+            "Hash": lambda: agg.multi_hash(inputs[: int(t.get("split", 1))], inputs[int(t.get("split", 1)) :]),
+            "Interval_Map": lambda: agg.interval_map(inputs[0], inputs[1], inputs[2:]),
+            "LogisticRegressionIRLS": lambda: logistic(inputs, outputs, int(t.get("rounds", 5))),
             "Min": lambda: agg.minima(one_each),
             "Max": lambda: agg.maxima(one_each),
             "CountDistinct": lambda: agg.count_distinct(inputs, first, bool(null_check)),
@@ -294,7 +360,7 @@ class Planner:
             "OrderBy": lambda: self._ordered(t, inputs, outputs),
             "TopK": lambda: renamed(agg.top_k(inputs[0], int(f.arguments[0] if f.arguments else t["k"]), inputs[1:]), inputs, outputs),
             "ExtremeTuples": lambda: renamed(agg.extreme_tuples(t["extremes"] if isinstance(t["extremes"], dict) else dict.fromkeys(t["extremes"], "MAX")), inputs, outputs),
-            "Segmenter": lambda: agg.segment(inputs[0], self.aggregate(t["gla"], inputs, outputs), int(t.get("segments", 64))),
+            "Segmenter": lambda: agg.segment(inputs[0], self.aggregate(t["gla"], inputs, outputs), int(t.get("segments", 64)), int(t.get("passes", 1))),
             "Multiplexer": lambda: agg.multiplex([self.aggregate(x["gla"], x["inputs"], x.get("outputs", [])) for x in t["glas"]]),
             "GroupBy": lambda: self._grouped(t, inputs, outputs),
         }
@@ -308,7 +374,7 @@ class Planner:
         order = t["order"] if isinstance(t["order"], dict) else dict.fromkeys(t["order"], "ASC")
         by = {n: order[n] for n in inputs if n in order}  # the inputs' order, not that of the map
         rank = t.get("rank")
-        inner = agg.order_by(by, int(t["limit"]) if t.get("limit") else None, rank)
+        inner = agg.order_by(by, int(t["limit"]) if t.get("limit") else None, rank, t.get("keep.ties"))
         return renamed(inner, [n for n in inputs if n != rank], [n for n in outputs if n != rank], [rank] if rank else [])
 
     def _grouped(self, t: dict, inputs: list[str], outputs: list[str]) -> agg.Aggregate:
@@ -328,13 +394,15 @@ class Planner:
         if name == "StreamingGroupBy":
             return transforms.runs(df, inputs[0], self.aggregate(t["aggregate"], inputs[1:], outputs[1:]), t["order"], t.get("partition"))
         if name in ("Join", "Interval_Join", "Group_By_Interval_Join"):
-            state = self.frame(states[0])
-            old = [c for c in state.columns if c not in outputs]
-            keep = bool(t.get("keep.missing", False))
+            held = self.state(states[0])
+            state, keep = held.frame, bool(t.get("keep.missing", False))
             if name == "Join":
-                n = len(inputs)
+                n = held.keys or len(inputs)
+                old = state.columns
+                if n > len(inputs):
+                    raise ProgramError(f"{states[0]} has {n} keys, the join {len(inputs)} inputs")
                 own = state.toDF(*[f"__k{i}" for i in range(n)], *(outputs or old[n:]))
-                return joins.with_state(df, inputs, own, [f"__k{i}" for i in range(n)], keep).drop(*[f"__k{i}" for i in range(n)])
+                return joins.with_state(df, inputs[:n], own, [f"__k{i}" for i in range(n)], keep).drop(*[f"__k{i}" for i in range(n)])
             width = float(t.get("width", 1))
             if name == "Interval_Join":
                 own = state.toDF("__lo", "__hi", *outputs)
@@ -347,6 +415,35 @@ class Planner:
         raise ProgramError(f"unknown transform {f.name}")
 
 
+def logistic(inputs: list[str], outputs: list[str], rounds: int) -> agg.Rows:
+    """Coefficients of the inputs after the first, which is the label, one column each."""
+
+    def run(df: DataFrame, keys: list[str]) -> DataFrame:
+        if keys:
+            raise ProgramError("LogisticRegressionIRLS runs over all rows")
+        coefficients = iterate.logistic_regression(df, inputs[1:], inputs[0], rounds)
+        names = outputs or [f"b_{c}" for c in inputs[1:]]
+        return df.sparkSession.createDataFrame([tuple(float(c) for c in coefficients)], ", ".join(f"`{n}` double" for n in names))
+
+    return agg.Rows(run)
+
+
+def k_means(spark: SparkSession, states: list[DataFrame], centers: list[list[float]], rounds: int = 10) -> DataFrame:
+    """(center, coordinates) after so many rounds over the state's numeric columns."""
+    names = states[0].columns
+    found, _ = iterate.k_means(states[0], names, [[float(x) for x in c] for c in centers], int(rounds))
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(found)], ", ".join(["center int", *[f"`{n}` double" for n in names]]))
+
+
+def rounds_of(spark: SparkSession, states: list[DataFrame], expressions: dict[str, str], rounds: int = 1, intermediates: bool = False) -> DataFrame:
+    """The state after so many rounds, each of which computes all of its named columns anew; or all rounds' rows."""
+
+    def step(state: DataFrame, n: int) -> DataFrame:
+        return state.select(*[F.expr(expressions[c]).alias(c) if c in expressions else F.col(c) for c in state.columns])
+
+    return iterate.iterate_state(states[0], step, iterate.halt_after(int(rounds)), int(rounds), keep_rounds=bool(intermediates))
+
+
 def renamed(inner: agg.Aggregate, inputs: list[str], outputs: list[str], extra: list[str] | None = None) -> agg.Rows:
     """The keys and named columns of an aggregate's rows, under other names."""
 

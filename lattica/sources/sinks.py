@@ -28,6 +28,13 @@ def printed(df: DataFrame, columns: dict[str, Column], kind: str = "csv", sep: s
     return own.select(F.concat_ws(sep, *[F.coalesce(c.cast("string"), F.lit("NULL")) for c in columns.values()]).alias("line"))
 
 
+def with_types(lines: DataFrame, df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Printed JSON rows and, as one further line, the names and types of their columns."""
+    fields = [{"name": f.name, "type": f.dataType.simpleString()} for f in df.select(*[c.alias(n) for n, c in columns.items()]).schema]
+    one = df.sparkSession.range(1).select(F.lit(json.dumps({"types": fields}, separators=(",", ":"))).alias("line"))
+    return lines.unionAll(one)
+
+
 def print_to(df: DataFrame, columns: dict[str, Column], path: str, kind: str = "csv", header: bool = False, sep: str = ",", limit: int | None = None, single: bool = False) -> None:
     """Write text files; ``single`` brings all rows into one file and is for results that are known to be small."""
     own = df if limit is None else df.limit(limit)

@@ -61,6 +61,20 @@ class Relations:
         out = store(df, self.path(name), columns, overwrite, self.schemas.get(name))
         self.schemas.setdefault(name, out.schema)
 
+    def cluster(self, name: str, column: str) -> DataFrame:
+        """Rewrite the relation in the order of a column, so that range loads skip files; returns the zone map."""
+        from lattica.sources.sinks import cluster, zone_map
+
+        beside = self.path(name) + ".clustered"
+        cluster(self.load(name), column, beside)
+        jvm = self.spark._jvm
+        old, new = jvm.org.apache.hadoop.fs.Path(self.path(name)), jvm.org.apache.hadoop.fs.Path(beside)
+        files = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.delete(old, True)
+        files.rename(new, old)
+        self.spark.catalog.refreshByPath(self.path(name))
+        return zone_map(self.load(name), column)
+
     def delete_content(self, name: str) -> None:
         own = self.schemas.get(name) or self.load(name).schema
         self.schemas[name] = own
