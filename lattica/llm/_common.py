@@ -41,20 +41,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is chosen only where the cluster names none."""
+    """The folder that driver and executors share; one is chosen only on one machine where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
         found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
+    """df written to the shared folder and read again: lineage ends there, and a lost executor loses nothing.
+
+    The table goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(schema).parquet(path)
 
 

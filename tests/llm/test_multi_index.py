@@ -86,3 +86,6 @@ def test_defined_cases(spark):
     out = multi_index.nearest(df, df.filter("vec_id % 20 = 0")).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == [(0, 1, 20, 0.5), (0, 2, 1, 0.0), (0, 3, 1, 0.0), (20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 1, 0.5)]
     assert multi_index.nearest(df.limit(0), df.limit(0)).count() == 0
+    clash = df.selectExpr("*", *[f"1 AS {c}" for c in ("block", "asks", "v", "d", "a", "b", "query_id", "rank", "score")])
+    again = multi_index.nearest(clash, clash.filter("vec_id % 20 = 0")).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, out))

@@ -23,21 +23,29 @@ def test_perspectives_as_sql(spark, small):
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{small}/conversations.parquet'")
     sql = con.sql(queries.ORACLES["op8_perspectives"])
     assert own.columns == sql.columns
-    assert sorted(map(tuple, own.collect())) == sorted(sql.fetchall())
+    assert sorted(map(tuple, own.collect()), key=repr) == sorted(sql.fetchall(), key=repr)
 
 
 def test_perspectives_cases(spark):
     schema = "conv_id long, turn long, role string, text string"
-    df = spark.createDataFrame([(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "who"), (2, 0, "system", "alone"), (None, None, "ann", "x"), (None, None, "ann", "x")], schema)
-    out = perspectives.rotated(df).collect()
-    assert {(r.conv_id, r.perspective) for r in out} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "who"), (1, 4, "", "<|end|>"), (2, 0, "system", "alone"), (None, None, "ann", "x"), (None, None, "ann", "x"), (None, 1, "system", "y")]
+    df = spark.createDataFrame(rows, schema)
+    frame = perspectives.rotated(df)
+    out = frame.collect()
+    assert {(r.conv_id, r.perspective) for r in out} == {(1, "ann"), (1, "bob"), (1, None), (1, ""), (None, "ann")}
     ann = sorted((r for r in out if r.conv_id == 1 and r.perspective == "ann"), key=lambda r: r.char_start)
     text = "".join(r.segment for r in ann)
-    assert text == "<|system|>\nrules<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|user name=unknown|>\nwho<|end|>\n"
-    assert [text[r.char_start :].startswith(r.segment) for r in ann] == [True] * 4
-    assert [r.trained for r in ann] == [False, True, False, False]
-    assert sorted(r.char_start for r in out if r.conv_id is None) == [0, 23]
+    assert text == "<|system|>\nrules<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|user name=|>\nwho<|end|>\n<|user name=|>\n<\\|end|><|end|>\n"
+    assert all(text[r.char_start :].startswith(r.segment) for r in ann)
+    assert [text[r.train_start : r.train_end] for r in ann if r.trained] == ["hi<|end|>"]
+    assert [r.trained for r in ann] == [False, True, False, False, False]
+    assert [(r.char_start, r.train_start) for r in out if r.conv_id is None] == [(0, 14), (0, 14)]
     assert perspectives.rotated(df.limit(0)).count() == 0
+    duck = duckdb.connect()
+    duck.register("conversations", df.toPandas().astype({"turn": "Int64", "conv_id": "Int64"}))
+    assert sorted(map(tuple, out), key=repr) == sorted(duck.sql(f"SELECT {', '.join(frame.columns)} FROM ({queries.ORACLES['op8_perspectives']})").fetchall(), key=repr)
+    clash = df.selectExpr("*", *[f"1 AS {c}" for c in ("seat", "own", "perspective", "head", "segment", "char_start", "trained", "seat_conv")])
+    assert sorted(map(tuple, perspectives.rotated(clash).collect()), key=repr) == sorted(map(tuple, out), key=repr)
 
 
 def make_docs(spark, texts):
