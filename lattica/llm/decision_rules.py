@@ -5,7 +5,7 @@ rows (``max_train``), held on the driver as bit sets, and emits an ordered list
 
 Defined cases: a null text counts as empty (no words, fails the base rule); repeated doc_ids are judged one row at a
 time; a table without labels or without documents gives a list with no rules, so only the base rule decides; further
-columns of the input pass through unless they bear the name of a statistic, which then replaces them.
+columns of the input are ignored by the query and pass through the pipeline stage.
 """
 
 from __future__ import annotations
@@ -212,25 +212,25 @@ def learn(rows: list[tuple], bad: list[bool], features: tuple[str, ...] = FEATUR
     return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, **options) -> DecisionList:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, after_base: bool = True, **options) -> DecisionList:
     """The list learned from at most ``max_train`` labelled rows, chosen by hash of their id.
 
-    The bound makes the broadcast of ids and the rows that reach the driver small by construction.
+    With ``after_base`` from those alone that pass the base rule, which then decides first. The bound makes the broadcast of ids and the rows that reach the driver small by construction.
     """
     some = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     one_each = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     rows = one_each.select("doc_id", "quality", statistics(F.col("text")).alias("st")).limit(max_train).collect()
-    rows = sorted(([float(r["st"][f]) for f in FEATURES], r["quality"] == 0) for r in rows if not r["st"]["base_failed"])
+    rows = sorted(([float(r["st"][f]) for f in FEATURES], r["quality"] == 0) for r in rows if not (after_base and r["st"]["base_failed"]))
     random.Random(0).shuffle(rows)
     return learn([tuple(x) for x, _ in rows], [y for _, y in rows], **options)
 
 
-def judged(text: Column, rules: DecisionList) -> Column:
-    """Statistics with the number of the rule that rejects and the verdict."""
+def judged(text: Column, rules: DecisionList, after_base: bool = True) -> Column:
+    """Statistics with the number of the rule that rejects and the verdict, which the base rule shares if ``after_base``."""
 
     def verdict(st: Column) -> Column:
         rule = rules.fired(st)
-        return F.struct(*[st[k].alias(k) for k in (*COUNTS, "base_failed")], rule.alias("rule"), (~st["base_failed"] & rule.isNull()).alias("kept"))
+        return F.struct(*[st[k].alias(k) for k in (*COUNTS, "base_failed")], rule.alias("rule"), (rule.isNull() & ~st["base_failed"] if after_base else rule.isNull()).alias("kept"))
 
     return let(statistics(text), verdict)
 
@@ -242,6 +242,6 @@ def op10_decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go."""
-    rules = fit(docs, table(spark, sf_dir, "labels"))
-    return docs.filter(judged(F.col("text"), rules)["kept"])
+    """Pipeline stage: documents without words or that a learned rule rejects go; a text that is merely short stays."""
+    rules = fit(docs, table(spark, sf_dir, "labels"), after_base=False)
+    return docs.filter(let(judged(F.col("text"), rules, after_base=False), lambda st: st["kept"] & (st["n_words"] > 0)))

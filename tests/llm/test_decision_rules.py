@@ -51,6 +51,15 @@ def test_labelled_accuracy(spark):
     assert out.filter("quality = 0 and kept").count() <= 0.2 * out.filter("quality = 0").count()
 
 
+def test_stage_keeps_clean_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    kept = rules.rules_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).select("doc_id").distinct()
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    clean, bad = labels.filter("quality = 1 and toxic = 0"), labels.filter("quality = 0")
+    assert clean.join(kept, "doc_id", "left_semi").count() >= 0.995 * clean.count()
+    assert bad.join(kept, "doc_id", "left_semi").count() <= 0.02 * bad.count()
+
+
 def test_defined_cases(spark, awkward, empty, labels):
     found = rules.fit(awkward, labels)
     st = rules.judged(F.col("text"), found)
