@@ -3,33 +3,18 @@
 from __future__ import annotations
 
 import random
-import re
-from collections import Counter
 
 from lattica.llm import decision_rules as rules
+from plain_python import counts, first_rule
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def plain(text):
-    t = text or ""
-    ws = WORD.findall(t)
-    seen, cover = Counter(tuple(ws[i : i + 3]) for i in range(len(ws) - 2)), set()
-    for i in range(len(ws) - 2):
-        if seen[tuple(ws[i : i + 3])] > 1:
-            cover |= {i, i + 1, i + 2}
-    lines = [x for x in t.split("\n") if WORD.search(x)]
-    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover)
-
-
 def test_counts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     more = ["", None, "a", "a b", "a b c a b c", "x " * 200, "a b c d " * 100, " lead\ttab\x0bvt ", "l\n\nl\n l\nl", "|#|&<>", "é ü 😀 é ü 😀", " ".join(f"p{i % 40} q{i % 41} r{i % 43}" for i in range(3000))]
     both = docs.select("text").union(spark.createDataFrame([(t,) for t in more], "text string"))
     for r in both.select("text", rules.statistics(F.col("text")).alias("st")).collect():
-        assert tuple(r.st[k] for k in rules.COUNTS) == plain(r.text)
-        n, *_, again = plain(r.text)
+        assert tuple(r.st[k] for k in rules.COUNTS) == counts(r.text)
+        n, *_, again = counts(r.text)
         assert r.st.base_failed == (n < 50 or 100 * again > 50 * n)
 
 
@@ -51,6 +36,17 @@ def test_labelled_accuracy(spark):
     assert out.filter("quality = 0 and kept").count() <= 0.2 * out.filter("quality = 0").count()
 
 
+def test_verdicts_as_in_plain_python(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = rules.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert found.rules
+    for r in rules.op10_decision_rules(spark, sf).collect():
+        rule = first_rule(found, texts[r.doc_id])
+        assert (r.rule, r.kept) == (rule, rule is None and not r.base_failed)
+
+
 def test_stage_keeps_clean_documents(spark):
     sf = "/root/testdata/sf0.1"
     kept = rules.rules_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).select("doc_id").distinct()

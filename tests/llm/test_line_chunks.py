@@ -3,26 +3,14 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
 
 import numpy as np
 import xxhash
+from plain_python import without_repeats
 
 from lattica.llm import line_chunks as lines
 
 
-def brute(rows):
-    places = defaultdict(list)
-    for doc, text in sorted(rows, key=lambda r: r[0]):
-        for a, b, _, chunk in lines.repeatable(text):
-            places[chunk].append((doc, a, b))
-    drop = defaultdict(set)
-    for found in places.values():
-        for doc, a, b in sorted(found)[1:]:
-            drop[doc] |= set(range(a, b))
-    return {doc: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop[doc]) for doc, text in rows}
-
-
 def test_boundaries_resist_shifts():
     rng = random.Random(2)
     own = [f"line {rng.random()}" for _ in range(400)]
@@ -54,7 +42,7 @@ def test_a_long_repeated_run_goes_but_for_its_ends(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = brute(rows)
+    want = without_repeats(rows)
     got = {r.doc_id: r.text for r in lines.cleaned(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
     assert got == want
     assert any(want[d] != t for d, t in rows)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import zlib
 
 import duckdb
 import numpy as np
+import plain_python
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lattica.llm import kneser_ney, perspectives, queries
+from lattica.llm import decision_rules, kneser_ney, packing, perspectives, pii, queries
 from lattica.llm import sentencepieces as sp
 
 # perspectives
@@ -269,6 +273,45 @@ def test_pipeline(spark):
     assert kept == sizes[4]
 
 
+def test_pipeline_in_plain_python(spark, small):
+    """Every stage's rows, each from those of the stage before."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = decision_rules.fit(docs, spark.read.parquet(f"{small}/labels.parquet"), after_base=False)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    results, at = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        at = corpus_pipeline.written(stage(spark, at, small), "stage")
+        results[name] = at
+    rows = {k: {r.doc_id: r.text for r in v.collect()} for k, v in results.items() if k != "packing"}
+    assert rows["quality rules"] == {d: t for d, t in texts.items() if plain_python.counts(t)[0] and plain_python.first_rule(found, t) is None}
+    assert rows["line dedup"] == plain_python.without_repeats(list(rows["quality rules"].items()))
+    ids = sorted(rows["line dedup"])
+    groups = plain_python.similar_groups([rows["line dedup"][d] for d in ids])
+    assert sorted(rows["near-duplicates"]) == sorted(ids[min(g)] for g in groups)
+    assert all(rows["near-duplicates"][d] == rows["line dedup"][d] for d in rows["near-duplicates"])
+    masked = rows["personal data"]
+    assert set(masked) == set(rows["near-duplicates"])
+    for d, t in masked.items():
+        assert not pii.base_spans(t)
+        own = re.sub("<(EMAIL|IP|CARD|PHONE|SECRET|NAME)>", "", t)
+        assert t == rows["near-duplicates"][d] or len(own) < len(rows["near-duplicates"][d])
+        if not re.search("[0-9@]", rows["near-duplicates"][d]):
+            assert t == rows["near-duplicates"][d]
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    pieces = results["packing"].orderBy("sequence_id", "offset").collect()
+    whole = {d: [*tok.encode(t, add_special_tokens=False).ids, 0] for d, t in masked.items()}
+    seen = {d: 0 for d in whole}
+    for r in sorted(pieces, key=lambda r: r.start):
+        assert r.start == seen[r.doc_id] and r.doc_tokens == len(whole[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(whole[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        seen[r.doc_id] += r.length
+    assert all(seen[d] == len(x) for d, x in whole.items())
+    place = 0
+    for r in pieces:
+        assert r.sequence_id * 1024 + r.offset == place and r.offset + r.length <= 1024
+        place += r.length
+
+
 def test_pipeline_cases(spark, awkward, empty, tmp_path):
     folder = f"file://{tmp_path}"
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")

@@ -4,19 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from plain_python import similar_groups
 
 from lattica.llm import similar
 
 
-def plain_sets(text, k=5):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
-
-
-def jaccard(a, b):
-    return len(a & b) / len(a | b)
-
-
 def corpus(rng, n, length=(20, 200)):
     return [[f"w{v}" for v in rng.integers(0, 3000, rng.integers(*length))] for _ in range(n)]
 
@@ -39,25 +31,6 @@ def groups(rows):
     return {frozenset(s) for s in out.values()}
 
 
-def brute(texts, limit=0.8):
-    sets = [plain_sets(" ".join(t)) for t in texts]
-    root = list(range(len(sets)))
-
-    def find(a):
-        while root[a] != a:
-            a = root[a]
-        return a
-
-    for i in range(len(sets)):
-        for j in range(i):
-            if jaccard(sets[i], sets[j]) >= limit:
-                root[find(i)] = find(j)
-    out = {}
-    for i in range(len(sets)):
-        out.setdefault(find(i), set()).add(i)
-    return {frozenset(s) for s in out.values()}
-
-
 @pytest.mark.parametrize("largest", [4096, 20])
 def test_components_as_by_brute_force(spark, monkeypatch, largest):
     """Also with buckets that are dealt again, down to those compared with their first rows."""
@@ -67,7 +40,7 @@ def test_components_as_by_brute_force(spark, monkeypatch, largest):
     texts = base + [changed(rng, b, s) for b in base for s in (0.005, 0.01, 0.02, 0.03, 0.1)] + base[:5]
     one = corpus(rng, 1, (300, 301))[0]
     texts += [changed(rng, one, 0.004) for _ in range(80)]  # copies that hardly differ
-    want, got = brute(texts), groups(similar.similar(make(spark, texts)).collect())
+    want, got = similar_groups([" ".join(t) for t in texts]), groups(similar.similar(make(spark, texts)).collect())
     assert got == want or len(got ^ want) <= 4 and all(any(g <= w for w in want) for g in got)
 
 
