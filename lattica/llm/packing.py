@@ -12,8 +12,8 @@ a sequence may begin in one shard and end in the next, positions have no gaps, a
 Defined cases: null or empty texts are documents of the end id alone; a null source is a source of its own; rows
 without doc_id and repeated rows are packed like any others; an empty table gives no pieces; further columns are
 ignored. Ids of a text are those of the tokenizers library for the whole text: texts are cut only before a space that
-follows a non-space and before a mark at a word's end, where the pre-tokenizer always cuts, and each part is encoded
-once and remembered.
+follows a non-space and before the symbols at a word's end, where the pre-tokenizer always cuts, and each part is
+encoded once and remembered.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,6 @@ from lattica.llm._common import library_threads, slices, table, written
 WINDOW, PIECE, END_ID = 1024, 256, 0
 #: Tokens of a shard (8 MB of ids), and characters of the parts that a worker remembers.
 SHARD_TOKENS, REMEMBERED = 4_000_000, 12_000_000
-MARKS = tuple(".,;:!?")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -47,7 +47,10 @@ def default_tokenizer() -> str:
 
 
 class PartEncoder:
-    """Encodes texts by parts, with a bounded memory of parts already seen."""
+    """Encodes texts by parts, with a bounded memory of parts already seen.
+
+    A part is known by a key: words that follow a space by themselves, everything else by a space and the part.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,49 +59,59 @@ class PartEncoder:
         # a byte-level vocabulary spells each byte as one character
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # parts of the time before, those that occur again come back
         self.held = 0
         self.blank = re.compile(r"\s ")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added, self.closing = re.compile("|".join(map(re.escape, added)) or r"(?!)"), {t[-1:] for t in added}
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
-    def parts(self, text: str) -> list[str]:
+    def keys(self, text: str) -> list[str]:
+        """Keys of the parts of a text, which is cut before spaces that follow a visible character."""
         cut = text.split(" ")
-        cut[1:] = [" " + x for x in cut[1:]]
         if self.blank.search(text) is None:
+            cut[0] = " " + cut[0]
             return cut
-        out: list[str] = []
-        for x in cut:  # a part that ends in white space runs on into the next one
-            if out and out[-1][-1:].isspace():
-                out[-1] += x
+        out = [cut[0]]
+        for x in cut[1:]:  # a part that ends in white space runs on into the next one
+            if out[-1][-1:].isspace():
+                out[-1] += " " + x
             else:
-                out.append(x)
-        return out
+                out.append(" " + x)
+        return [" " + x for x in out]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of unsigned numbers."""
-        cut = [self.parts(t) for t in texts]
-        new = set().union(*cut).difference(self.known) if cut else set()
-        size = sum(map(len, new))
-        if self.held + size > REMEMBERED:
-            self.known, self.held, new = {}, 0, set().union(*cut)
-            size = sum(map(len, new))
-        self.held += size
-        # a mark after a letter is a token run of its own at a part's end, so that the word alone need be encoded
-        marked = [p for p in new if p[-1:] in MARKS and p[-2:-1].isalpha()]
-        plain = new.difference(marked).union([p[:-1] for p in marked], [p[-1] for p in marked]).difference(self.known)
+        cut = [self.keys(t) for t in texts]
+        if self.held > REMEMBERED // 2:
+            self.old, self.known, self.held = self.known, {}, 0
+        new = set().union(*cut).difference(self.known)
+        again = new & self.old.keys()
+        self.known.update([(p, self.old[p]) for p in again])
+        self.held += sum(map(len, new))
+        new -= again
+        # symbols after a letter are a token run of their own at a part's end, so that the word alone need be encoded
+        ended = {}
+        for p in new:
+            if not p[-1:].isalnum():
+                word = p.rstrip(punctuation)
+                if len(word) < len(p) and word[-1:].isalpha() and not (p[-1] in self.closing and self.added.search(p)):
+                    ended[p] = word, " " + p[len(word) :]
+        plain = new.difference(ended).union(*ended.values()).difference(self.known)
         self._learn(list(plain))
-        for p in marked:
-            self.known[p] = self.known[p[:-1]] + self.known[p[-1]]
+        for p, (word, tail) in ended.items():
+            self.known[p] = self.known[word] + self.known[tail]
         return [b"".join(map(self.known.__getitem__, x)) for x in cut]
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, keys: list[str]) -> None:
         """Encode parts, most of them many to a text: tokens end where parts do, so that byte lengths tell them apart."""
         code, width = ("H", 2) if self.dtype is np.uint16 else ("I", 4)
-        fit = [p for p in parts if p[0] == " " and not p[-1].isspace()] if "" not in parts else []
-        alone = list(set(parts).difference(fit))
+        fit = [p for p in keys if p and p[0] != " " and not p[-1].isspace()]
+        alone = list(set(keys).difference(fit))
         groups = [fit[at : at + 256] for at in range(0, len(fit), 256)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids)
-            ends, sizes = np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in group])
+            ends, sizes = np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) + 1 for p in group])
             cut = np.searchsorted(ends, sizes) + 1
             if cut[-1] > len(ids) or (ends[cut - 1] != sizes).any():
                 alone += group
@@ -109,7 +122,7 @@ class PartEncoder:
                 start = end
         for at in range(0, len(alone), 4096):
             some = alone[at : at + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for part, found in zip(some, self.tokenizer.encode_batch_fast([p[1:] if p[:1] == " " else " " + p for p in some], add_special_tokens=False), strict=True):
                 self.known[part] = array(code, found.ids).tobytes()
 
 
@@ -152,24 +165,26 @@ def served(sources: list[str], n: np.ndarray, queue: np.ndarray, shares: np.ndar
     ``deficit`` is changed in place; ``place`` is the position of the first token in the stream of all shards.
     """
     rows = [np.flatnonzero(queue == s).tolist() for s in range(len(sources))]
-    at, start, left = [0] * len(sources), [0] * len(sources), int(n.sum())
-    open_ = np.array([bool(r) for r in rows])
+    at, start, left, sizes = [0] * len(sources), [0] * len(sources), int(n.sum()), n.tolist()
+    share, owed = shares.tolist(), deficit.tolist()
+    open_ = [s for s, r in enumerate(rows) if r]
     room = window - place % window
-    deficit += shares * min(room, left)
+    owed = [d + x * min(room, left) for d, x in zip(owed, share, strict=True)]
     while left:
-        s = int(np.argmax(np.where(open_, deficit, -np.inf)))
+        s = max(open_, key=owed.__getitem__)
         row = rows[s][at[s]]
-        rest = int(n[row]) - start[s]
-        take = min(rest, room, max(piece, int(deficit[s])))
+        take = min(sizes[row] - start[s], room, max(piece, int(owed[s])))
         yield row, start[s], take, place
-        deficit[s] -= take
+        owed[s] -= take
         place, room, left, start[s] = place + take, room - take, left - take, start[s] + take
-        if start[s] == n[row]:
+        if start[s] == sizes[row]:
             at[s], start[s] = at[s] + 1, 0
-            open_[s] = at[s] < len(rows[s])
+            if at[s] == len(rows[s]):
+                open_.remove(s)
         if not room:
             room = window
-            deficit += shares * min(room, left)
+            owed = [d + x * min(room, left) for d, x in zip(owed, share, strict=True)]
+    deficit[:] = owed
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, window: int = WINDOW, piece: int = PIECE, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
