@@ -95,7 +95,7 @@ class PartEncoder:
         for p in new:
             if not p[-1:].isalnum():
                 word = p.rstrip(punctuation)
-                if len(word) < len(p) and word[-1:].isalpha() and not (p[-1] in self.closing and self.added.search(p)):
+                if len(word) < len(p) and word[-1:].isalpha() and (self.closing.isdisjoint(p[len(word) :]) or not self.added.search(p)):
                     ended[p] = word, " " + p[len(word) :]
         plain = new.difference(ended).union(*ended.values()).difference(self.known)
         self._learn(list(plain))
