@@ -344,3 +344,43 @@ def file_print(spark, d):
 @query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 5")
 def order_limit(spark, d):
     return ranking.order_by(rel(spark, d, "supplier"), {"s_acctbal": "-", "s_suppkey": "+"}, 5).select("s_suppkey", "s_name")
+
+
+# results that vary within bounds, as statements about them that hold
+
+
+@query("SELECT true AS hyper_log_log, true AS linear_counting, true AS sample")
+def estimates_are_close(spark, d):
+    """Sketches within 5 and 2 % of the exact number, and a sample of a tenth within a quarter of its size."""
+    from lattica.catalog import QUERIES
+
+    li = rel(spark, d, "lineitem")
+    exact, n = li.agg(F.count_distinct("l_orderkey"), F.count(F.lit(1))).first()
+    close = lambda value, wanted, off: abs(value - wanted) <= off * wanted
+    found = [QUERIES[name](spark, d) for name in ("hyper_log_log", "linear_counting", "bernoulli")]
+    row = (close(found[0].first()[0], exact, 0.05), close(found[1].first()[0], exact, 0.02), close(found[2].count(), 0.1 * n, 0.25))
+    return spark.createDataFrame([row], "hyper_log_log boolean, linear_counting boolean, sample boolean")
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def chunk_count_total(spark, d):
+    chunks = agg.evaluate(rel(spark, d, "lineitem"), agg.chunk_count())
+    return chunks.agg(F.sum(F.col("tuples") * F.col("chunks")).alias("n"))
+
+
+@query("SELECT CAST(2000 AS BIGINT) AS n, true AS spread")
+def cluster_gen_total(spark, d):
+    """Two clusters of a thousand rows; the second one's coordinates are positive, the first one's aren't all."""
+    from lattica.catalog import QUERIES
+
+    own = QUERIES["cluster_gen"](spark, d)
+    return own.agg(F.count(F.lit(1)).alias("n"), ((F.min("x") < 0) & (F.max("x") > 0)).alias("spread"))
+
+
+@query("SELECT 0 AS gradient")
+def logistic_regression_gradient(spark, d):
+    """The likelihood's gradient at the coefficients found, for each row and rounded to six digits."""
+    own = rel(spark, d, "lineitem").select((F.col("l_quantity") / 50 - 0.5).alias("q"), F.when(F.col("l_extendedprice") > 50000, 1).otherwise(-1).alias("y"))
+    b = float(iterate.logistic_regression(own, ["q"], "y", 12)[0])
+    gradient = F.avg(F.col("q") * (F.when(F.col("y") > 0, 1.0).otherwise(0.0) - 1 / (1 + F.exp(-b * F.col("q")))))
+    return own.agg(F.round(gradient * 1_000_000).cast("int").alias("gradient"))
