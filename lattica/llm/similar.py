@@ -205,7 +205,7 @@ def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                     if streaming and not last:
                         yield batch(int(key), node[s:e], node[s:e])
                         continue
-                    bucket.append((node[s:e].copy(), fp[s:e].copy(), small[s:e]))
+                    bucket.append((node[s:e].copy(), fp[s:e].copy(), small[s:e].copy()))
                     held += e - s
                     if held > LARGEST:
                         if last:
@@ -245,8 +245,9 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY,
         for b in batches:
             yield b.filter(pa.array(in_filter(known.value, b.column(0).to_numpy().view(np.uint64))))
 
-    # written, so that the joins have plain exchanges on both sides and Spark can split a text with many links
-    some = written(own.mapInArrow(picked, "key long, text string"), "texts")
+    # one row for repeated rows; written, so that the joins have plain exchanges on both sides and Spark can split a text
+    # with many links
+    some = written(own.mapInArrow(picked, "key long, text string").dropDuplicates(["key"]), "texts")
     a, b = (some.select(F.col("key").alias(f"{x}_key"), F.col("text").alias(f"{x}_text")) for x in "ab")
     both = pairs.join(a, "a_key").join(b, "b_key")
     names, n = pairs.columns, len(pairs.columns)
