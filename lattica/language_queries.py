@@ -377,6 +377,18 @@ def cluster_gen_total(spark, d):
     return own.agg(F.count(F.lit(1)).alias("n"), ((F.min("x") < 0) & (F.max("x") > 0)).alias("spread"))
 
 
+@query("SELECT CAST(800 AS BIGINT) AS n, CAST(0 AS BIGINT) AS outside, true AS both")
+def program_cluster_gen(spark, d):
+    """Uniform rows around two centres: none lies outside them, and both are hit."""
+    source = """
+        g = READ USING GI:ClusterGen<n = 800, centers = [uniform(0, 1), uniform(5, 6)], seed = 3> ATTRIBUTES x : DOUBLE, y : DOUBLE;
+    """
+    low = F.col("x").between(0, 1) & F.col("y").between(0, 1)
+    high = F.col("x").between(5, 6) & F.col("y").between(5, 6)
+    g = Planner(lambda name: rel(spark, d, name), tables.Relations(spark, _scratch(spark, "none"))).run(source)["g"]
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(~low & ~high).alias("outside"), ((F.count_if(low) > 100) & (F.count_if(high) > 100)).alias("both"))
+
+
 @query("SELECT 0 AS gradient")
 def logistic_regression_gradient(spark, d):
     """The likelihood's gradient at the coefficients found, for each row and rounded to six digits."""

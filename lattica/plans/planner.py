@@ -15,7 +15,7 @@ from lattica.operators import aggregates as agg
 from lattica.operators import filters, iterate, joins, transforms
 from lattica.plans.lexer import ProgramError
 from lattica.plans.parser import Functor, Statement, parse
-from lattica.sources import csv, sinks, tables
+from lattica.sources import csv, generators, sinks, tables
 from lattica.types import LOGICAL
 
 _BINARY: dict[str, Callable[[Column, Column], Column]] = {
@@ -191,11 +191,28 @@ class Planner:
         names = {"separator": "sep", "trim.cr": "trim_cr", "line.number": "line_number"}
         options = {names.get(k, k): v for k, v in f.template.items() if k != "debug"}
         if f.name.split(".")[-1] == "ClusterGen":
-            raise ProgramError("generated rows have no files: use sources.generators.clusters")
+            self.frames[s.target] = self.generated(f.template, columns, len(p["paths"]))
+            return
         if options.pop("line_number", False):
             options["line_number"], columns = columns[0][0], columns[1:]
         self.frames[s.target] = csv.read_csv(self.spark, p["paths"], columns, **options)
 
+    def generated(self, t: dict, columns: list[tuple[str, str]], files: int) -> DataFrame:
+        """Rows around centres, which are distributions: one for all columns, or a list with one for each column."""
+        places = [v for k, v in t.items() if k.startswith("#")]
+        n, centers = t.get("n", places[0] if places else None), t.get("centers", places[-1] if places else None)
+        if not isinstance(n, int) or not isinstance(centers, list):
+            raise ProgramError("ClusterGen needs n and a list of centres")
+
+        def spread(f: Functor) -> generators.Spread:
+            name = {"inverse_normal": "inverse_gaussian"}.get(f.name.lower(), f.name.lower())
+            given = tuple(float(x) for x in f.arguments)
+            return generators.Spread(name, given + generators.DEFAULTS.get(name, ())[len(given) :])
+
+        own = [[spread(x) for x in c] if isinstance(c, list) else [spread(c)] * len(columns) for c in centers]
+        out = generators.clusters(self.spark, n, own, [c for c, _ in columns], int(t.get("seed") or 0), max(1, files))
+        return out.select(*[maths.convert(F.col(c), k).alias(c) for c, k in columns])
+
     def on_text_load(self, s: Statement) -> None:
         p = s.parts
         columns = p["columns"] or [(x.name, _logical(x.dataType.typeName())) for x in self.relations.schemas[p["relation"]]]

@@ -22,6 +22,17 @@ DISTRIBUTIONS = {
     "negative_binomial": ("n", "p"),
     "gamma": ("shape", "scale"),
 }
+#: Parameters that a program leaves out.
+DEFAULTS = {
+    "uniform": (0.0, 1.0),
+    "normal": (0.0, 1.0),
+    "gaussian": (0.0, 1.0),
+    "exponential": (1.0,),
+    "inverse_gaussian": (1.0, 1.0),
+    "binomial": (1.0, 0.5),
+    "negative_binomial": (1.0, 0.5),
+    "gamma": (1.0, 1.0),
+}
 _NATIVE = ("uniform", "normal", "gaussian", "exponential", "inverse_gaussian")
 
 
