@@ -57,11 +57,12 @@ def _binned(points: DataFrame, value: str, intervals: DataFrame, lower: str, upp
     """Join on the bin of the value and each bin that an interval touches; exact bounds are tested again.
 
     Bins double in width from level to level, and an interval lies on the level where it touches few bins, however long
-    it is. The levels in use, at most some dozens, are gathered; a value is looked up on each of them.
+    it is. A value is looked up on each of the levels in use, at most some dozens, which come as one row; rows that are
+    kept without an interval are found level by level, for which the levels are gathered.
     """
     long = F.greatest(F.lit(1.0), (F.col(upper).cast("double") - F.col(lower).cast("double")) / width)
     placed = intervals.withColumn("__level", F.ceil(F.log2(long)).cast("int"))
-    levels = sorted(r[0] for r in placed.select("__level").distinct().collect() if r[0] is not None) or [0]
+    used = placed.agg(F.collect_set("__level").alias("__levels"))
     bin_of = lambda c, level: F.floor(c.cast("double") / (width * F.pow(F.lit(2.0), level))).cast("long")
     spread = placed.withColumn("__bin", F.explode(F.sequence(bin_of(F.col(lower), F.col("__level")), bin_of(F.col(upper), F.col("__level")))))
 
@@ -70,17 +71,21 @@ def _binned(points: DataFrame, value: str, intervals: DataFrame, lower: str, upp
         test = reduce(lambda x, y: x & y, [at["__on"] == side["__level"], at["__at"] == side["__bin"], inside, *[at[a] == side[b] for a, b in keys]])
         return at.join(side, test, way)
 
-    def looked_up(rows: DataFrame, on: list[int]) -> DataFrame:
-        own = rows.withColumn("__on", F.explode(F.array(*[F.lit(x) for x in on]))) if len(on) > 1 else rows.withColumn("__on", F.lit(on[0]))
-        return own.withColumn("__at", bin_of(F.col(value), F.col("__on")))
+    def looked_up(rows: DataFrame, on: Column) -> DataFrame:
+        return rows.withColumn("__on", on).withColumn("__at", bin_of(F.col(value), F.col("__on")))
 
     extra = ["__on", "__at", "__level", "__bin"]
-    if how == "inner" or len(levels) == 1:
-        return met(looked_up(points, levels), spread, how).drop(*extra)
+    if how == "inner":
+        everywhere = points.join(F.broadcast(used), F.lit(True))  # one row
+        return met(looked_up(everywhere, F.explode("__levels")), spread, how).drop(*extra, "__levels")
+    levels = sorted(used.first()[0]) or [0]
+    if len(levels) == 1:
+        return met(looked_up(points, F.lit(levels[0])), spread, how).drop(*extra)
     rest = points
     for level in levels:
-        rest = met(looked_up(rest, [level]), spread, "left_anti").drop("__on", "__at")
-    return met(looked_up(points, levels), spread, "inner").drop(*extra).unionByName(rest, allowMissingColumns=True)
+        rest = met(looked_up(rest, F.lit(level)), spread, "left_anti").drop("__on", "__at")
+    every = looked_up(points, F.explode(F.array(*[F.lit(x) for x in levels])))
+    return met(every, spread, "inner").drop(*extra).unionByName(rest, allowMissingColumns=True)
 
 
 def interval_join(points: DataFrame, value: str, intervals: DataFrame, lower: str, upper: str, width: float, keep_missing: bool = False) -> DataFrame:
