@@ -8,7 +8,7 @@ message passing makes their labels agree. Tokens outside base spans that come ou
 ``THRESHOLD`` or more add spans; base spans always stay.
 
 The field is trained here, in one task, on weak labels of a bounded, hash-chosen sample of documents (``max_train`` of
-them, and as many tokens): base spans, strings in the shape of keys, and capitalised parts of an address, all of which
+them, and ``max_tokens`` of their tokens): base spans, strings in the shape of keys, and capitalised parts of an address, all of which
 similar tokens of the same document inherit. The evidence of half of the labelled tokens is hidden, so that shape,
 context and repetition have to explain them.
 
@@ -223,6 +223,11 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def _gathered(at: np.ndarray, messages: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the messages to each of n nodes."""
+    return np.stack([np.bincount(at, m, n) for m in messages.T], axis=1)
+
+
 @dataclass
 class Field:
     unary: np.ndarray  # features x labels
@@ -251,9 +256,7 @@ class Field:
             new_back = _lse((belief[v] - forth)[:, None, :] + pair, 2)
             forth = 0.5 * forth + 0.5 * (new_forth - _lse(new_forth, 1)[:, None])
             back = 0.5 * back + 0.5 * (new_back - _lse(new_back, 1)[:, None])
-            belief = local.copy()
-            np.add.at(belief, v, forth)
-            np.add.at(belief, u, back)
+            belief = local + _gathered(v, forth, len(local)) + _gathered(u, back, len(local))
         nodes = np.exp(belief - _lse(belief, 1)[:, None])
         joint = (belief[u] - back)[:, :, None] + pair + (belief[v] - forth)[:, None, :]
         flat = joint.reshape(len(edges), len(LABELS) ** 2)
@@ -310,8 +313,8 @@ def added_spans(field: Field, found: list[tuple[list[Token], list[Span]]]) -> li
     return out
 
 
-def fit(docs: DataFrame, max_train: int = 20_000) -> Field:
-    """The field trained on up to ``max_train`` tokens of the documents among as many hash-chosen ids."""
+def fit(docs: DataFrame, max_train: int = 20_000, max_tokens: int = 6_000) -> Field:
+    """The field trained on up to ``max_tokens`` tokens of the documents among ``max_train`` hash-chosen ids."""
     some = docs.filter("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
     texts = texts.join(F.broadcast(some), F.col("doc_id") == F.col("_id"), "left_semi")
@@ -323,7 +326,7 @@ def fit(docs: DataFrame, max_train: int = 20_000) -> Field:
             found = [(doc, x) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in tokens(t, base_spans(t))]
             yield pa.RecordBatch.from_pydict({n: [doc if n == "doc_id" else getattr(x, n) for doc, x in found] for n in names}, schema)
 
-    rows = texts.mapInArrow(run, "doc_id long, word long, core string, keys array<string>, base long, lead boolean, part boolean").orderBy(F.xxhash64("doc_id"), "doc_id", "word").limit(max_train)
+    rows = texts.mapInArrow(run, "doc_id long, word long, core string, keys array<string>, base long, lead boolean, part boolean").orderBy(F.xxhash64("doc_id"), "doc_id", "word").limit(max_tokens)
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_doc: dict[int, list[Token]] = {}
@@ -332,7 +335,7 @@ def fit(docs: DataFrame, max_train: int = 20_000) -> Field:
             n += b.num_rows
             for r in b.to_pylist():
                 by_doc.setdefault(r["doc_id"], []).append(Token(0, 0, r["word"], r["core"], r["keys"], r["base"], r["lead"], r["part"]))
-        if n >= max_train and len(by_doc) > 1:
+        if n >= max_tokens and len(by_doc) > 1:
             by_doc.popitem()  # the last one may be cut short
         field = train(list(by_doc.values()))
         yield pa.RecordBatch.from_arrays([pa.array([m.astype(float).tobytes()], pa.binary()) for m in (field.unary, field.chain, field.skip)], ["unary", "chain", "skip"])
