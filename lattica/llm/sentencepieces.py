@@ -9,7 +9,7 @@ merges.
 Texts are cut before a marker that follows another character, where no piece of the vocabulary can span (the parser
 checks this; a vocabulary with such a piece is encoded whole). Parts are encoded in batches with a thread for each core
 of the task, each part once while a bounded memory lasts. Parity with the sentencepiece library is verified by tests,
-by ``parity``, and by ``digests`` for one document in ``VERIFIED``, chosen by its ids.
+by ``parity``, and by ``digests`` for every document as a whole.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; lone surrogates can't occur in Spark
 strings; rows without doc_id and repeated rows are treated like any others; an empty table gives an empty result;
@@ -38,7 +38,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters of the parts that a worker remembers, and parts that are encoded as one text.
 REMEMBERED, TOGETHER = 10_000_000, 256
-#: One document in so many is encoded and decoded by the sentencepiece library too.
+#: ``parity`` repeats ``as_library`` for one document in so many, chosen by its ids.
 VERIFIED = 256
 
 
@@ -245,12 +245,17 @@ def library(data: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
+def agreement(other, texts: list[str], ids: list[np.ndarray], back: list[str]) -> list[bool]:
+    """Whether another processor gives these ids for each text and this text back for them."""
+    theirs = (other.encode(t) for t in texts)
+    return [x == y.tolist() and other.decode(x) == z for x, y, z in zip(theirs, ids, back, strict=True)]
+
+
 def parity(data: bytes, texts: list[str]) -> list[int]:
     """Positions of texts that the sentencepiece library encodes or decodes otherwise."""
     own, other = Pieces(data), library(data)
     ids = own.encode(texts)
-    theirs = other.encode(texts, num_threads=1)
-    return [i for i, (a, b, back) in enumerate(zip(ids, theirs, own.decode(ids), strict=True)) if a.tolist() != b or back != other.decode(b)]
+    return [i for i, same in enumerate(agreement(other, texts, ids, own.decode(ids))) if not same]
 
 
 _loaded: dict[int, Pieces] = {}
@@ -279,30 +284,29 @@ def encoded(docs: DataFrame, data: bytes) -> DataFrame:
 
 
 def digests(docs: DataFrame, data: bytes) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, n_byte_ids, decoded_chars, round_trip, parity): encoded and decoded in one pass.
+    """(doc_id, n_ids, ids_crc32, n_byte_ids, decoded_chars, round_trip, parity, as_library): encoded and decoded in one pass.
 
-    parity says whether the sentencepiece library gives the same ids and text; null for documents that weren't verified.
+    as_library says of every document whether the sentencepiece library gives the same ids for its whole text and the
+    same text for the ids; parity repeats it for one document in ``VERIFIED`` and is null for the others.
     """
     shared = docs.sparkSession.sparkContext.broadcast(data)
-    names = ["doc_id", "n_ids", "ids_crc32", "n_byte_ids", "decoded_chars", "round_trip", "parity"]
+    names = ["doc_id", "n_ids", "ids_crc32", "n_byte_ids", "decoded_chars", "round_trip", "parity", "as_library"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library_threads()
-        own, other = pieces_of(shared.value), None
+        own, other = pieces_of(shared.value), library(shared.value)
         for b in slices(batches, "text"):
             texts = [t or "" for t in b.column(1).to_pylist()]
             ids = own.encode(texts)
             back, crc = own.decode(ids), [zlib.crc32(x.tobytes()) for x in ids]
             meant = texts if own.plain else [own.normalize(t).replace(MARK, " ") for t in texts]
-            same: list[bool | None] = [None] * len(ids)
-            for k in (k for k, x in enumerate(crc) if x % VERIFIED == 0):
-                other = other or library(shared.value)
-                same[k] = (theirs := other.encode(texts[k])) == ids[k].tolist() and other.decode(theirs) == back[k]
+            same = agreement(other, texts, ids, back)
+            parity = [x if c % VERIFIED == 0 else None for x, c in zip(same, crc, strict=True)]
             cols = [[len(x) for x in ids], crc, [int(own.is_byte[x].sum()) for x in ids], [len(x) for x in back]]
-            flags = [[x == y for x, y in zip(meant, back, strict=True)], same]
+            flags = [[x == y for x, y in zip(meant, back, strict=True)], parity, same]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols], *[pa.array(c, pa.bool_()) for c in flags]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_byte_ids long, decoded_chars long, round_trip boolean, parity boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_byte_ids long, decoded_chars long, round_trip boolean, parity boolean, as_library boolean")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,19 @@ def test_sentencepiece_cases(spark, awkward, empty):
     assert sentencepiece.SentencePieceProcessor(model_proto=data).encode("naïve café 😀 text") == ids
 
 
+def test_every_document_is_held_against_the_library(spark):
+    with open(sp.default_model(), "rb") as f:
+        data = f.read()
+    texts = [f"word {i} naïve" for i in range(600)]
+    out = sp.digests(make_docs(spark, texts), data).collect()
+    assert [r.as_library for r in out] == [True] * 600
+    own, lib = sp.Pieces(data), sp.library(data)
+    ids = own.encode(texts)
+    back = own.decode(ids)
+    ids[77], back[300] = ids[78], back[301]
+    assert [i for i, x in enumerate(sp.agreement(lib, texts, ids, back)) if not x] == [77, 300]
+
+
 # kneser_ney
 
 
