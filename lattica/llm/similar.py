@@ -4,12 +4,15 @@ A pair at a Jaccard similarity of 0.8 differs in about ten of 64 fingerprint bit
 fingerprints. Here the blocks that the bit-sliced comparison runs over are made of texts that share the least of their
 shingle hashes under one of ``TABLES`` orders: two texts of similarity s miss each other with (1 - s) ** TABLES. Pairs
 within ``RADIUS`` bits are estimated from small sketches (one byte for each of 256 bins of the shingles), those that may
-be similar become links, of which each block keeps those that span it and the best of the doubtful ones, and each link
-is checked exactly on the texts.
+be similar become links, each of which is checked exactly on the texts.
+
+That is done twice. First each block keeps links that span it and the best of the doubtful ones, which ties most of what
+belongs together at little cost. Then ``rest`` gives every link that may hold between texts that the checked links leave
+apart, and all of them are checked, so that the groups are those of checking every pair of the blocks.
 
 A bucket with more than ``LARGEST`` different texts is dealt again by the next ``TABLES`` orders; after ``ROUNDS`` of
-them its texts have so many least hashes in common that they are compared in blocks, each with the first rows of the
-bucket.
+them its texts have so many least hashes in common that they are compared in blocks, the first time each with the first
+rows of the bucket, the second time each with each.
 
 Defined cases: texts without words are alike; texts shorter than a shingle are one shingle; texts with equal shingle
 sets are one node; rows with a null doc_id take part and come after all others; repeated rows are one; an empty table
@@ -35,7 +38,7 @@ from lattica.llm.simhash import LARGEST, TILE, majority, shingles, within
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits that a pair of this similarity practically never exceeds (mean 10, deviation 3), and what sketches may be off.
 RADIUS, MARGIN = 20, 0.06
-#: Doubtful pairs of a tree that are checked.
+#: Doubtful pairs of a tree that are checked the first time.
 DOUBTFUL = 4
 TABLES, ROUNDS, PIVOTS = 4, 4, 64
 BINS = 256
@@ -234,6 +237,98 @@ def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         rows = nodes.join(hot, "node")
 
 
+def apart(fps: np.ndarray, sketches: np.ndarray, roots: np.ndarray, similarity: float, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within the radius that may be similar and have different roots, and different sides if given."""
+    for a in range(0, len(fps), TILE):
+        for b in range(a, len(fps), TILE):
+            own, other = roots[a : a + TILE], roots[b : b + TILE]
+            if own[0] == other[0] and (own == own[0]).all() and (other == own[0]).all():
+                continue
+            i, j = within(fps[a : a + TILE], fps[b : b + TILE], RADIUS, a == b)
+            i, j = i + a, j + b
+            differ = roots[i] != roots[j]
+            if sides is not None:
+                differ &= sides[i] != sides[j]
+            i, j = i[differ], j[differ]
+            for at in range(0, len(i), 1 << 15):
+                p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+                near = estimates(sketches[p], sketches[q]) >= similarity - MARGIN
+                if near.any():
+                    yield p[near], q[near]
+
+
+def rest(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): all links that may hold between nodes of different roots, from columns node, fp, mins, sketch and root.
+
+    Only buckets that hold several roots are looked at. One that is too large after the last round is cut into parts,
+    each of which meets itself and each other one.
+    """
+    names = ["a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, ...]] = []  # small buckets, compared in one block
+        bucket: list[tuple[np.ndarray, ...]] = []
+        key, held = None, 0
+
+        def linked(parts: list[tuple[np.ndarray, ...]], sided: bool = False) -> Iterator[pa.RecordBatch]:
+            node, fp, root, side, small = (np.concatenate(c) for c in zip(*parts, strict=True))
+            node, first = np.unique(node, return_index=True)
+            for i, j in apart(fp[first].view(np.uint64), small[first], root[first], similarity, side[first] if sided else None):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal bucket, waiting, held
+            if held > TILE or bucket and bucket[0][3][0] >= 0:
+                yield from linked(bucket, bool(bucket[0][3][0] >= 0))
+            elif held > 1:
+                if sum(len(p[0]) for p in waiting) + held > TILE:
+                    yield from linked(waiting)
+                    waiting = []
+                waiting += bucket
+            bucket, held = [], 0
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own, *columns = (b.column(k).to_numpy() for k in range(5))
+            columns.append(np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, BINS))
+            cut = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(own)], strict=True):
+                if key != own[s]:
+                    yield from close()
+                    key = own[s]
+                bucket.append(tuple(c[s:e].copy() for c in columns))
+                held += e - s
+        yield from close()
+        if waiting:
+            yield from linked(waiting)
+
+    rows, found = nodes.withColumn("bucket", F.lit(0).cast("long")), None
+    for n in range(ROUNDS):
+        keys = F.array(*[F.xxhash64("bucket", F.lit(k), F.col("mins")[k]) for k in range(n * TABLES, (n + 1) * TABLES)])
+        places = written(rows.select(F.explode(keys).alias("bucket"), "node", "root"), "places")
+        mixed = written(places.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most").select("bucket", "n"), "mixed")
+        if mixed.isEmpty():
+            break
+        dealt = written(places.join(mixed, "bucket").select("bucket", "n", "node", "root"), "dealt")
+        cold, hot = dealt.filter(F.col("n") <= LARGEST), dealt.filter(F.col("n") > LARGEST)
+        one = cold.select("bucket", "node", "root", F.lit(-1).cast("long").alias("side"))
+        more = n + 1 < ROUNDS and not hot.isEmpty()
+        if n + 1 == ROUNDS:
+            parts = F.ceil(F.col("n") / LARGEST)
+            part = hot.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node", F.lit(n)), parts)})
+            met = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            two = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+            one = one.unionAll(met.select(two.alias("bucket"), "node", "root", F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("long").alias("side")))
+        full = one.join(nodes.select("node", "fp", "sketch"), "node").select("bucket", "node", "fp", "root", "side", "sketch")
+        out = written(full.repartition("bucket").sortWithinPartitions("bucket", "root").mapInArrow(run, "a long, b long").distinct(), "rest")
+        found = out if found is None else found.unionAll(out)
+        if not more:
+            break
+        rows = nodes.join(hot.select("bucket", "node"), "node")
+    return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found.distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """Those of the pairs of rows (a_key, b_key, further columns) whose shingle sets are similar, by their texts."""
     spark = docs.sparkSession
@@ -272,11 +367,21 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     nodes = written(own.groupBy("node").agg(F.min(rank).alias("best"), *[F.min(c).alias(c) for c in ("fp", "mins", "sketch")]), "nodes")
     keys = nodes.select("node", F.col("best.key").alias("key"))
-    pairs = links(nodes.select("node", "fp", "mins", "sketch"), similarity)
-    pairs = pairs.join(keys.select(F.col("node").alias("a"), F.col("key").alias("a_key")), "a").join(keys.select(F.col("node").alias("b"), F.col("key").alias("b_key")), "b")
-    good = verified(docs, written(pairs, "pairs"), similarity, k)
-    roots = components(good.select("a", "b"))
-    rooted = written(nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        keyed = pairs.join(keys.select(F.col("node").alias("a"), F.col("key").alias("a_key")), "a").join(keys.select(F.col("node").alias("b"), F.col("key").alias("b_key")), "b")
+        return verified(docs, written(keyed, "pairs"), similarity, k).select("a", "b")
+
+    pairs = written(links(nodes.select("node", "fp", "mins", "sketch"), similarity), "spanning")
+    roots = components(checked(pairs))
+    rooted = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    left = written(rest(rooted.select("node", "fp", "mins", "sketch", "root"), similarity).join(pairs, ["a", "b"], "left_anti"), "left")
+    if not left.isEmpty():
+        # a root is its component's smallest node, so that the smallest root of those linked is the new one
+        root_of = rooted.select("node", "root")
+        edges = checked(left).join(root_of.toDF("a", "x"), "a").join(root_of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        again = components(edges).select(F.col("node").alias("root"), F.col("root").alias("later"))
+        rooted = written(rooted.join(again, "root", "left").select("node", "best", F.coalesce("later", "root").alias("root")), "rooted")
     first = written(rooted.groupBy("root").agg(F.min("best").alias("first")), "first")
     of_node = written(rooted.select("node", "root").join(first, "root"), "of_node")
     out = own.select("key", "doc_id", "node").join(of_node, "node")
