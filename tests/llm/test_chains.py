@@ -149,6 +149,31 @@ def test_passage_whose_parts_lie_in_documents_before_and_after(spark):
     assert {(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end) for r in found} == {(61, 60, 44, 194, 9, 159)}
 
 
+def test_variants_of_a_passage_that_many_hold(spark):
+    """Each of 30 documents has words of its own in it, so that no pair of documents shares a stretch of 50 words."""
+    rng = np.random.default_rng(14)
+    words = lambda n: [f"w{v}" for v in rng.integers(0, 10**7, n)]
+    shared, texts, n = words(80), [], 30
+    for k in range(n):
+        own = list(shared)
+        for i in range(k % 5 * 3, 80, 16):
+            own[i] = f"own{k}x{i}"
+        texts.append(words(30 + k) + own + words(60))
+    found = {(r.doc_id, r.other_id) for r in chains.passages(make_docs(spark, [" ".join(t) for t in texts])).collect()}
+    near = {(a, b) for a in range(n) for b in range(a) if (a - b) % 5 == 0}
+    assert near <= found
+
+
+def test_copies_with_one_word_of_their_own(spark):
+    """All pairs of 25 documents hold a passage of 60 words that differ in one."""
+    rng = np.random.default_rng(15)
+    words = lambda n: [f"w{v}" for v in rng.integers(0, 10**7, n)]
+    shared, n = words(60), 25
+    texts = [words(20) + shared[:30] + [f"own{k}"] + shared[31:] + words(20) for k in range(n)]
+    found = [(r.doc_id, r.other_id) for r in chains.passages(make_docs(spark, [" ".join(t) for t in texts])).collect()]
+    assert sorted(found) == [(a, b) for a in range(n) for b in range(a)]
+
+
 def test_every_long_common_run_is_in_a_passage(spark, small):
     """Runs of 60 equal words that two documents share and at most six hold, by brute force."""
     docs = {r.doc_id: r.text.lower().split() for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
