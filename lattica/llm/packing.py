@@ -11,9 +11,9 @@ a sequence may begin in one shard and end in the next, positions have no gaps, a
 
 Defined cases: null or empty texts are documents of the end id alone; a null source is a source of its own; rows
 without doc_id and repeated rows are packed like any others; an empty table gives no pieces; further columns are
-ignored. Ids of a text are those of the tokenizers library for the whole text: texts are cut only before a space that
-follows a non-space and before the symbols at a word's end, where the pre-tokenizer always cuts, and each part is
-encoded once and remembered.
+ignored. Ids of a text are those of the tokenizers library for the whole text: texts are cut only where the
+pre-tokenizer always cuts (see ``starts``), equal parts of a batch are told apart by arrow, and each is encoded once and
+remembered for a while. Texts with a special token are encoded whole.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from string import punctuation
+from string import ascii_letters, punctuation
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,7 +36,9 @@ from lattica.llm._common import library_threads, slices, table, written
 
 WINDOW, PIECE, END_ID = 1024, 256, 0
 #: Tokens of a shard (8 MB of ids), and characters of the parts that a worker remembers.
-SHARD_TOKENS, REMEMBERED = 4_000_000, 12_000_000
+SHARD_TOKENS, REMEMBERED = 4_000_000, 4_000_000
+#: Rows, and bytes of texts, whose words are told apart at once.
+AT_ONCE = 1 << 16, 8 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -46,11 +49,42 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class PartEncoder:
-    """Encodes texts by parts, with a bounded memory of parts already seen.
+#: Spaces, line ends and ASCII symbols: a text may be cut before them, which depends on the byte before.
+_CUTS = np.isin(np.arange(256), np.frombuffer(f" \n{punctuation}".encode(), np.uint8))
+_SYMBOL = np.isin(np.arange(256), np.frombuffer(punctuation.encode(), np.uint8))
+_LETTER = np.isin(np.arange(256), np.frombuffer(ascii_letters.encode(), np.uint8))
+_SEEN = (np.arange(256) > 32) & (np.arange(256) < 127)
+
 
-    A part is known by a key: words that follow a space by themselves, everything else by a space and the part.
+def starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the parts of texts start, given their bytes and where each of them starts.
+
+    Texts are cut before a space or line end that follows a visible character, after such a line end if a visible one
+    follows, and before a symbol that follows a letter. No pre-token spans these places, and none depends on what stands
+    beyond them.
     """
+    at = np.flatnonzero(_CUTS[raw])
+    at = at[at > 0]
+    now, before = raw[at], raw[at - 1]
+    symbol, wide = _SYMBOL[now], before > 127
+    good = np.where(symbol, _LETTER[before], _SEEN[before])
+    far = np.flatnonzero(wide)
+    # bytes of the character before; where they belong to a text before, the cut is a text's start anyway
+    a, b, c = before[far], raw[np.maximum(at[far] - 2, 0)], raw[np.maximum(at[far] - 3, 0)]
+    blank = (b == 0xC2) | (c == 0xE1) | (c == 0xE2) & ((b == 0x80) & ((a < 0x90) | (a > 0xA7)) | (b == 0x81)) | (c == 0xE3) & (b == 0x80)
+    letter = (b == 0xC3) & (a != 0x97) & (a != 0xB7)
+    good[far] = np.where(symbol[far], letter, ~blank)
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[at[good]] = True
+    after = at[good & (now == 10)] + 1
+    after = after[after < len(raw)]
+    cut[after[_SEEN[raw[after]]]] = True
+    cut[bounds] = True
+    return np.flatnonzero(cut[:-1])
+
+
+class PartEncoder:
+    """Encodes texts by parts, with a bounded memory of parts already seen. Arrow tells equal parts of a batch apart."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,69 +95,79 @@ class PartEncoder:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # parts of the time before, those that occur again come back
         self.held = 0
-        self.blank = re.compile(r"\s ")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added, self.closing = re.compile("|".join(map(re.escape, added)) or r"(?!)"), {t[-1:] for t in added}
+        self.added = "|".join(map(re.escape, added))
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
-    def keys(self, text: str) -> list[str]:
-        """Keys of the parts of a text, which is cut before spaces that follow a visible character."""
-        cut = text.split(" ")
-        if self.blank.search(text) is None:
-            cut[0] = " " + cut[0]
-            return cut
-        out = [cut[0]]
-        for x in cut[1:]:  # a part that ends in white space runs on into the next one
-            if out[-1][-1:].isspace():
-                out[-1] += " " + x
-            else:
-                out.append(" " + x)
-        return [" " + x for x in out]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of unsigned numbers."""
-        cut = [self.keys(t) for t in texts]
+        return self.encode_column(pa.array(texts, pa.string())).to_pylist()
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """Ids of each text (null: empty) as bytes of unsigned numbers, with ``end`` after each."""
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        # a special token may hold letters and symbols: texts with one are encoded whole
+        whole = np.flatnonzero(pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)).tolist() if self.added else []
+        joined = [self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts.take(pa.array(whole, pa.int64())).to_pylist()]
+        if whole:
+            texts = pc.if_else(pa.array(np.isin(np.arange(len(texts)), whole)), "", texts)
+        edges = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        part = starts(raw, edges)
+        places = pa.py_buffer(np.append(part, len(raw)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.string(), len(part), [None, places, pa.py_buffer(raw)]).dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._meet(words)
+        ends = np.searchsorted(part, edges[1:])
+        codes = np.insert(codes, ends, len(words))
+        ends += np.arange(1, len(ends) + 1)
+        for k, own in enumerate(whole):
+            codes[ends[own] - 1] = len(words) + 1 + k
+        ids = pa.array([*map(self.known.__getitem__, words), end, *[x + end for x in joined]], pa.binary()).take(pa.array(codes))
+        offsets = np.frombuffer(ids.buffers()[1], np.int32)[np.append(0, ends)]
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), ids.buffers()[2]])
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype is np.uint16 else "I", ids).tobytes()
+
+    def _meet(self, parts: list[str]) -> None:
+        """Have the ids of all these parts, which differ, in ``known``."""
         if self.held > REMEMBERED // 2:
             self.old, self.known, self.held = self.known, {}, 0
-        new = set().union(*cut).difference(self.known)
-        again = new & self.old.keys()
-        self.known.update([(p, self.old[p]) for p in again])
+        known, old = self.known, self.old
+        new = [p for p in parts if p not in known]
         self.held += sum(map(len, new))
-        new -= again
-        # symbols after a letter are a token run of their own at a part's end, so that the word alone need be encoded
-        ended = {}
-        for p in new:
-            if not p[-1:].isalnum():
-                word = p.rstrip(punctuation)
-                if len(word) < len(p) and word[-1:].isalpha() and (self.closing.isdisjoint(p[len(word) :]) or not self.added.search(p)):
-                    ended[p] = word, " " + p[len(word) :]
-        plain = new.difference(ended).union(*ended.values()).difference(self.known)
-        self._learn(list(plain))
-        for p, (word, tail) in ended.items():
-            self.known[p] = self.known[word] + self.known[tail]
-        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
-
-    def _learn(self, keys: list[str]) -> None:
-        """Encode parts, most of them many to a text: tokens end where parts do, so that byte lengths tell them apart."""
-        code, width = ("H", 2) if self.dtype is np.uint16 else ("I", 4)
-        fit = [p for p in keys if p and p[0] != " " and not p[-1].isspace()]
-        alone = list(set(keys).difference(fit))
-        groups = [fit[at : at + 256] for at in range(0, len(fit), 256)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        if old:
+            again = [p for p in new if p in old]
+            new = [p for p in new if p not in old]
+            known.update(zip(again, map(old.__getitem__, again), strict=True))
+        spaced = [p[:1] == " " and not p[1:2].isspace() and not p[-1].isspace() for p in new]
+        self._learn([p for p, x in zip(new, spaced, strict=True) if x], "")
+        self._learn([p for p, x in zip(new, spaced, strict=True) if not x and _SEEN[min(ord(p[0]), 255)] and not p[-1].isspace()], "\n")
+        self._alone([p for p, x in zip(new, spaced, strict=True) if not x and p not in known])
+
+    def _learn(self, parts: list[str], lead: str) -> None:
+        """Encode parts, most of them many to a text, with ``lead`` before each: tokens end where parts do, so that byte lengths tell them apart."""
+        width = np.dtype(self.dtype).itemsize
+        groups = [parts[at : at + 256] for at in range(0, len(parts), 256)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([lead + lead.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids)
-            ends, sizes = np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) + 1 for p in group])
+            ends, sizes = np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) + len(lead) for p in group])
             cut = np.searchsorted(ends, sizes) + 1
-            if cut[-1] > len(ids) or (ends[cut - 1] != sizes).any():
-                alone += group
+            if cut[-1] != len(ids) or (ends[cut - 1] != sizes).any() or lead and (self.lengths[ids[np.append(0, cut[:-1])]] != 1).any():
+                self._alone(group)
                 continue
-            raw, start = ids.astype(self.dtype).tobytes(), 0
+            raw, start, skip = ids.astype(self.dtype).tobytes(), 0, len(lead) * width
             for part, end in zip(group, (cut * width).tolist(), strict=True):
-                self.known[part] = raw[start:end]
+                self.known[part] = raw[start + skip : end]
                 start = end
-        for at in range(0, len(alone), 4096):
-            some = alone[at : at + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast([p[1:] if p[:1] == " " else " " + p for p in some], add_special_tokens=False), strict=True):
-                self.known[part] = array(code, found.ids).tobytes()
+
+    def _alone(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[part] = self._bytes(found.ids)
 
 
 _encoders: dict[str, PartEncoder] = {}
@@ -148,10 +192,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         library_threads()
         enc = encoder(path)
         end, width = np.array([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
-        for part in slices(batches, "text"):
-            ids = [x + end for x in enc.encode([t or "" for t in part.column(3).to_pylist()])]
-            n = pa.array([len(x) // width for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), n, pa.array(ids, pa.binary())], ["doc_id", "source", "deal", "n", "ids"])
+        for part in slices(batches, "text", *AT_ONCE):
+            ids = enc.encode_column(part.column(3), end)
+            n = pc.divide(pc.binary_length(ids).cast(pa.int64()), width)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), n, ids], ["doc_id", "source", "deal", "n", "ids"])
 
     # a number of its own for each row, so that repeats of one row are dealt to all shards
     deal = F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("deal")

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -98,3 +99,30 @@ def test_parts_give_the_tokenizers_ids():
 def test_null_source_has_its_own_queue(spark):
     docs = spark.createDataFrame([(1, "a b", None), (2, "c d", ""), (3, "e f", "=")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.source) for r in packing.pack(docs).collect()} == {(1, None), (2, ""), (3, "=")}
+
+
+def test_columns_give_the_tokenizers_ids():
+    enc = packing.PartEncoder(packing.default_tokenizer())
+    rng = random.Random(2)
+    bits = ["a", "Zb", "é", "×", "ñ", "1", ".", ",", " ", " ", " ", "\n", "\n", "\t", "'s", "'", "###", "<|endoftext|>", "_", "́", " ", " ", "　", " ", "᠎", "\u0085", " ", "’", "​", "😀", "中", "か", "\x1c", "\r\n", "½", "٣", "the", "\x00"]
+    texts = [None if rng.random() < 0.02 else "".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    want = [[*x.ids, 0] for x in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    column = pa.array(texts)
+    for at, n in ((0, 1), (1, 4000), (4001, 7999), (12_000, 8000)):
+        got = enc.encode_column(column.slice(at, n), np.zeros(1, enc.dtype).tobytes()).to_pylist()
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == want[at : at + n]
+    assert enc.encode_column(column[:0]).to_pylist() == []
+    assert [len(enc.encode_column(pa.array(t, pa.string()))) for t in ([None], ["", ""], [None, "a"])] == [1, 2, 2]
+
+
+def test_parts_that_differ_in_symbols_and_lines_are_held_once():
+    enc = packing.PartEncoder(packing.default_tokenizer())
+    enc.encode([f"x a{end}b{i} " for end in (".", ",\n", "###", "?\nThe ", "\n") for i in range(200)])
+    assert sum(k.strip(" ").startswith("a") for k in enc.known) == 1
+
+
+def test_little_is_remembered():
+    enc = packing.PartEncoder(packing.default_tokenizer())
+    for k in range(10):
+        enc.encode([" ".join(f"{i:08d}" for i in range(k * 80_000, (k + 1) * 80_000))])
+        assert sum(map(len, enc.known)) + sum(map(len, enc.old)) < 6_000_000
