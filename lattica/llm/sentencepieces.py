@@ -7,7 +7,9 @@ what it can't spell is turned into bytes here. A BPE model with unused pieces is
 merges.
 
 Texts are cut before a marker that follows another character, where no piece of the vocabulary can span (the parser
-checks this; a vocabulary with such a piece is encoded whole). Parts are encoded in batches with a thread for each core
+checks this; a vocabulary with such a piece is encoded whole). With a BPE model whose byte pieces spell all else, they
+are cut between any two bytes that stand side by side in no piece, as no merge joins these, and arrow tells equal parts
+apart. Parts are encoded in batches with a thread for each core
 of the task, each part once while a bounded memory lasts. Parity with the sentencepiece library is verified by tests,
 by ``parity``, and by ``digests`` for every document as a whole.
 
@@ -27,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters of the parts that a worker remembers, and parts that are encoded as one text.
 REMEMBERED, TOGETHER = 10_000_000, 256
+#: Rows whose parts are told apart at once, if their texts are small enough.
+AT_ONCE = 4096
 #: ``parity`` repeats ``as_library`` for one document in so many, chosen by its ids.
 VERIFIED = 256
 
@@ -104,6 +109,19 @@ class Model:
     def unknown(self) -> int:
         return next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
 
+    def pairs(self) -> np.ndarray:
+        """Of each two bytes, at 256 times the first and the second, whether no text may be cut between them.
+
+        The marker counts as a space, and the bytes of one character stay together.
+        """
+        out = np.zeros((256, 256), bool)
+        out[:, 0x80:0xC0] = True
+        for p, _, kind in self.pieces:
+            if kind in (NORMAL, USER_DEFINED):
+                raw = np.frombuffer(p.replace(MARK, " ").encode(), np.uint8)
+                out[raw[:-1], raw[1:]] = True
+        return out.ravel()
+
     def cuts_at_marks(self) -> bool:
         """No piece holds a marker after another character."""
         return not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED))
@@ -171,6 +189,10 @@ class Pieces:
         self.unknown = self.model.unknown
         self.ids = np.array(matchable(self.model), np.uint32) if self.model.kind == UNIGRAM else None
         self.bytes = {bytes([int(p[3:-1], 16)]): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
+        spelt = self.model.kind == BPE and self.model.byte_fallback and len(self.bytes) == 256
+        self.pairs = self.model.pairs() if spelt and self.plain and self.split else None
+        # a line end that no piece holds keeps parts apart that are encoded as one text
+        self.apart = "\n" if self.pairs is not None and not any("\n" in p for p, _, _ in pieces) else None
 
     def parts(self, text: str) -> list[str]:
         text = text.replace(" ", MARK) if self.plain else self.normalize(text)
@@ -179,38 +201,72 @@ class Pieces:
         return [] if not text else self.split.split(text) if self.split else [text]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.pairs is not None:
+            return self._by_pairs(pa.array(texts, pa.string()))
         cut = [self.parts(t) for t in texts]
-        new = set().union(*cut).difference(self.known) if cut else set()
+        self._meet(set().union(*cut))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), "<u4") for x in cut]
+
+    def _by_pairs(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.replace_substring(texts, MARK, " ")
+        if self.model.dummy_prefix:
+            texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+        edges = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        cut = np.ones(len(raw) + 1, bool)
+        cut[1:-1] = ~self.pairs[raw[:-1].astype(np.uint16) << 8 | raw[1:]]
+        cut[edges] = True
+        starts = np.flatnonzero(cut[:-1])
+        places = pa.py_buffer(np.append(starts, len(raw)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.string(), len(starts), [None, places, pa.py_buffer(raw)]).dictionary_encode()
+        words = [w.replace(" ", MARK) for w in coded.dictionary.to_pylist()]
+        self._meet(set(words))
+        ids = pa.array(map(self.known.__getitem__, words), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)[np.searchsorted(starts, edges)] // 4 if len(ids) else np.zeros(len(edges), np.int64)
+        every = np.frombuffer(ids.buffers()[2] or b"", "<u4") if len(ids) else np.zeros(0, "<u4")
+        return [every[s:e] for s, e in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+    def _meet(self, parts: set[str]) -> None:
+        """Have the ids of all these parts in ``known``."""
+        new = parts.difference(self.known)
         size = sum(map(len, new))
         if self.held + size > REMEMBERED:
-            self.known, self.held, new = {}, 0, set().union(*cut)
+            self.known, self.held, new = {}, 0, parts
             size = sum(map(len, new))
         self.held += size
         self._learn(list(new))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), "<u4") for x in cut]
 
     def _learn(self, new: list[str]) -> None:
         """Encode parts; where texts are cut at marks, many to a text, as no token crosses a cut and lengths tell."""
         fit = [p for p in new if self.split and p[0] == MARK and p[-1] != MARK]
         alone = list(set(new).difference(fit))
-        groups = [fit[at : at + TOGETHER] for at in range(0, len(fit), TOGETHER)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        if self.apart:
+            alone = self._together(alone, self.apart)
+        alone += self._together(fit, "")
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = array("I", found.ids)
+                self.known[part] = ids.tobytes() if self.ids is None else self._spelt(part, self.ids[ids])
+
+    def _together(self, parts: list[str], lead: str) -> list[str]:
+        """Encode many parts to a text, with ``lead``, which is none or a byte, before each; those that lengths don't tell apart are returned."""
+        alone = []
+        groups = [parts[at : at + TOGETHER] for at in range(0, len(parts), TOGETHER)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([lead + lead.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.uint32)
             ids = ids if self.ids is None else self.ids[ids]
-            ends, sizes = np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in group])
+            ends, sizes = np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) + len(lead) for p in group])
             cut = np.searchsorted(ends, sizes) + 1
-            if (ids == self.unknown).any() or cut[-1] > len(ids) or (ends[cut - 1] != sizes).any():
+            if (ids == self.unknown).any() or cut[-1] > len(ids) or (ends[cut - 1] != sizes).any() or lead and (self.lengths[ids[np.append(0, cut[:-1])]] != 1).any():
                 alone += group
                 continue
             raw, start = ids.tobytes(), 0
             for part, end in zip(group, (cut * 4).tolist(), strict=True):
-                self.known[part] = raw[start:end]
+                self.known[part] = raw[start + 4 * len(lead) : end]
                 start = end
-        for at in range(0, len(alone), 4096):
-            some = alone[at : at + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = array("I", found.ids)
-                self.known[part] = ids.tobytes() if self.ids is None else self._spelt(part, self.ids[ids])
+        return alone
 
     def _spelt(self, part: str, ids: np.ndarray) -> bytes:
         """Ids of a unigram model with each unknown stretch, if the model falls back to bytes, as its bytes."""
@@ -295,7 +351,7 @@ def digests(docs: DataFrame, data: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library_threads()
         own, other = pieces_of(shared.value), library(shared.value)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", AT_ONCE):
             texts = [t or "" for t in b.column(1).to_pylist()]
             ids = own.encode(texts)
             back, crc = own.decode(ids), [zlib.crc32(x.tobytes()) for x in ids]

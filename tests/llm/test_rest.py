@@ -109,6 +109,17 @@ def test_pieces_that_match_no_text(fallback):
     assert sp.parity(data, texts) == []
 
 
+def test_bpe_cut_between_bytes_that_no_piece_joins():
+    with open(sp.default_model(), "rb") as f:
+        data = f.read()
+    own = sp.Pieces(data)
+    rng = np.random.default_rng(4)
+    bits = ["a", "the", "Zb", "é", "ñ", "1", ".", ",", " ", " ", "  ", "\n", "\n\n", "\t", "'s", "###", "<s>", "<0x0A>", "▁", "\u0301", "\u00a0", "’", "😀", "中", "か", "\r\n", "½", "\x00", "ing", "tion"]
+    assert sp.parity(data, ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(5000)]) == []
+    own.encode([f"x a{end}b{i} " for end in ("\n", "\n\n", "\nThe ", "###\n") for i in range(200)])
+    assert [k for k in own.known if k.startswith("▁a")] == ["▁a"]
+
+
 def test_bpe_with_unused_pieces_is_refused():
     with open(sp.default_model(), "rb") as f:
         model = sp.Model.parse(f.read())
