@@ -203,3 +203,23 @@ def test_ids_that_repeat_or_lack(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
     found = {(r.doc_id, r.other_id, r.end - r.start, r.identity) for r in chains.passages(docs).collect()}
     assert found == {(2, 1, 60, 1.0), (2, None, 60, 1.0), (1, None, 60, 1.0), (3, 1, 60, 1.0), (3, 2, 60, 1.0)}
+
+
+def test_variants_are_tied_by_few_pairs(spark):
+    """Each of 60 documents has words of its own; the query's form names each, in one class, without all pairs."""
+    rng = np.random.default_rng(16)
+    words = lambda n: [f"w{v}" for v in rng.integers(0, 10**7, n)]
+    shared, other, n = words(90), words(60), 60
+    texts = [words(20) + shared[:30] + [f"own{k}"] + shared[31 + k % 3 // 2 :] + words(20) for k in range(n)] + [words(9) + other, other + words(5), words(80)]
+    out = chains.classes(make_docs(spark, [" ".join(t) for t in texts])).collect()
+    assert {(d, r.class_id) for r in out for d in (r.doc_id, r.other_id)} == {(d, 0) for d in range(n)} | {(n, n), (n + 1, n)}
+    assert len(out) <= 5 * n
+
+
+def test_seed_of_words_that_repeat(spark):
+    """60 times one word: all k-mers are one, which 20 documents hold."""
+    rng = np.random.default_rng(17)
+    words = lambda n: [f"w{v}" for v in rng.integers(0, 10**7, n)]
+    docs = make_docs(spark, [" ".join(words(20 + k) + ["again"] * 60 + words(30)) for k in range(20)])
+    assert {d for r in chains.classes(docs).collect() for d in (r.doc_id, r.other_id) if r.class_id == 0} == set(range(20))
+    assert {(r.doc_id, r.other_id) for r in chains.passages(docs).collect()} == {(a, b) for a in range(20) for b in range(a)}
