@@ -6,11 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Estimated size of a state up to which it is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
+#: Level of the bin that holds every value. Intervals to a level of their key up to which they are all put there.
+WHOLE, FEW = 4096, 4
+
 
 def _equal(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], null_safe: bool) -> Column:
     same = [left[a].eqNullSafe(right[b]) if null_safe else left[a] == right[b] for a, b in on]
@@ -53,39 +57,87 @@ def with_state(left: DataFrame, left_keys: list[str], state: DataFrame, state_ke
     return left.join(side, _equal(left, side, _pairs(left_keys, state_keys), False), "left" if keep_missing else "inner")
 
 
-def _binned(points: DataFrame, value: str, intervals: DataFrame, lower: str, upper: str, width: float, keys: list[tuple[str, str]], closed: bool, how: str) -> DataFrame:
+def _number(df: DataFrame, c: str) -> Column:
+    """A column as a double that keeps its order: numbers, seconds or days."""
+    return (F.unix_date(df[c]) if isinstance(df.schema[c].dataType, T.DateType) else df[c]).cast("double")
+
+
+def _row_bytes(df: DataFrame, extra: int = 0) -> Column:
+    """About what a row takes in Spark's row format, with so many columns of fixed size beside its own."""
+    wide = [F.octet_length(df[f.name]) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.length(F.to_json(F.struct(df[f.name]))) for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.BinaryType | T.ArrayType | T.MapType | T.StructType)]
+    return reduce(lambda x, y: x + y, [F.coalesce(c, F.lit(0)).cast("long") for c in wide], F.lit(8 * (len(df.columns) + extra + 1)).cast("long"))
+
+
+def _hinted(df: DataFrame, size: int | None) -> DataFrame:
+    """Broadcast by hint if its counted bytes allow: left to itself Spark shuffles few rows that lie in few partitions."""
+    return df.hint("broadcast") if (size or 0) <= BROADCAST_BYTES else df
+
+
+def _binned(points: DataFrame, value: str, intervals: DataFrame, lower: str, upper: str, width: float | None, keys: list[tuple[str, str]], closed: bool, how: str) -> DataFrame:
     """Join on the bin of the value and each bin that an interval touches; exact bounds are tested again.
 
     Bins double in width from level to level, and an interval lies on the level where it touches few bins, however long
-    it is. A value is looked up on each of the levels in use, at most some dozens, which come as one row; rows that are
-    kept without an interval are found level by level, for which the levels are gathered.
+    it is; ``width`` is that of the least bins, without it an interval's own length alone tells its level. A value is
+    looked up on each of the levels in use, at most some dozens; rows that are kept without an interval are found level
+    by level. With keys, a value is looked up on the levels of its own key, and a key with few intervals to a level has
+    all of them in one bin (level ``WHOLE``), as have intervals without a finite length. Levels and bytes are counted
+    first, in one job over the intervals; few bytes are broadcast, so that rows with equal values aren't brought together.
     """
-    long = F.greatest(F.lit(1.0), (F.col(upper).cast("double") - F.col(lower).cast("double")) / width)
-    placed = intervals.withColumn("__level", F.ceil(F.log2(long)).cast("int"))
-    used = placed.agg(F.collect_set("__level").alias("__levels"))
-    bin_of = lambda c, level: F.floor(c.cast("double") / (width * F.pow(F.lit(2.0), level))).cast("long")
-    spread = placed.withColumn("__bin", F.explode(F.sequence(bin_of(F.col(lower), F.col("__level")), bin_of(F.col(upper), F.col("__level")))))
-
-    def met(at: DataFrame, side: DataFrame, way: str) -> DataFrame:
-        inside = (at[value] >= side[lower]) & ((at[value] <= side[upper]) if closed else (at[value] < side[upper]))
-        test = reduce(lambda x, y: x & y, [at["__on"] == side["__level"], at["__at"] == side["__bin"], inside, *[at[a] == side[b] for a, b in keys]])
-        return at.join(side, test, way)
-
-    def looked_up(rows: DataFrame, on: Column) -> DataFrame:
-        return rows.withColumn("__on", on).withColumn("__at", bin_of(F.col(value), F.col("__on")))
+    low, high, step = _number(intervals, lower), _number(intervals, upper), width or 1.0
+    least = [F.lit(1.0)] if width else [F.abs(low) * 2.0**-52, F.abs(high) * 2.0**-52, F.lit(2.0**-1000)]
+    long = F.greatest((high - low) / step, *least)
+    placed = intervals.withColumn("__level", F.when(long < float("inf"), F.ceil(F.log2(long)).cast("int")).otherwise(WHOLE))
+    bin_of = lambda c, level: F.floor(c / (step * F.pow(F.lit(2.0), level))).cast("long")
+    bins = lambda df: (bin_of(_number(df, lower), df["__level"]), bin_of(_number(df, upper), df["__level"]))
+    first, last = bins(placed)
+    size = F.sum(_row_bytes(intervals, 2) * (last - first + 1))
+    by_key = None
+    if keys:
+        own = [F.col(b).alias(f"__b{i}") for i, (_, b) in enumerate(keys)]
+        counted = placed.groupBy(*own).agg(F.collect_set("__level").alias("__levels"), F.count(F.lit(1)).alias("__n"), size.alias("__size"))
+        few = F.col("__n") <= FEW * F.size("__levels")
+        counted = counted.withColumn("__levels", F.when(few, F.array(F.lit(WHOLE))).otherwise(F.col("__levels")))
+        by_key = counted.drop("__n", "__size")
+        each = counted.select(F.posexplode("__levels").alias("__i", "__level"), "__size", _row_bytes(by_key).alias("__row"))
+        once = lambda c: F.sum(F.when(F.col("__i") == 0, F.col(c)))
+        found, size, key_size = each.agg(F.collect_set("__level"), once("__size"), once("__row")).first()
+        by_key = _hinted(by_key, key_size)
+    else:
+        found, size = placed.agg(F.collect_set("__level"), size).first()
+    levels = sorted(found) or [WHOLE]
+    test_of = lambda at, side: [*[at[a] == side[b] for a, b in keys], at[value] >= side[lower], (at[value] <= side[upper]) if closed else (at[value] < side[upper])]
+    if levels == [WHOLE]:
+        side = _hinted(intervals, size)
+        return points.join(side, reduce(lambda x, y: x & y, test_of(points, side)), how)
+
+    def with_levels(df: DataFrame, on: list[str]) -> DataFrame:
+        """Rows with the levels of their key."""
+        if by_key is None:
+            return df.withColumn("__levels", F.array(*[F.lit(x) for x in levels]))
+        same = reduce(lambda x, y: x & y, [df[c] == by_key[f"__b{i}"] for i, c in enumerate(on)])
+        return df.join(by_key, same).drop(*[f"__b{i}" for i in range(len(on))])
+
+    if by_key is not None and levels[-1] == WHOLE:
+        held = F.array_contains("__levels", F.col("__level"))
+        placed = with_levels(placed, [b for _, b in keys]).withColumn("__level", F.when(held, F.col("__level")).otherwise(WHOLE)).drop("__levels")
+    spread = placed.withColumn("__bin", F.explode(F.sequence(*bins(placed))))
+    spread = _hinted(spread, size) if keys else spread
+
+    def met(at: DataFrame, on: Column, way: str) -> DataFrame:
+        at = at.withColumn("__on", on)
+        at = at.withColumn("__at", bin_of(_number(at, value), F.col("__on")))
+        test = [at["__on"] == spread["__level"], at["__at"] == spread["__bin"], *test_of(at, spread)]
+        return at.join(spread, reduce(lambda x, y: x & y, test), way).drop("__on", "__at", "__level", "__bin", "__levels")
 
-    extra = ["__on", "__at", "__level", "__bin"]
-    if how == "inner":
-        everywhere = points.join(F.broadcast(used), F.lit(True))  # one row
-        return met(looked_up(everywhere, F.explode("__levels")), spread, how).drop(*extra, "__levels")
-    levels = sorted(used.first()[0]) or [0]
     if len(levels) == 1:
-        return met(looked_up(points, F.lit(levels[0])), spread, how).drop(*extra)
+        return met(points, F.lit(levels[0]), how)
+    every = met(with_levels(points, [a for a, _ in keys]), F.explode("__levels"), "inner")
+    if how == "inner":
+        return every
     rest = points
     for level in levels:
-        rest = met(looked_up(rest, F.lit(level)), spread, "left_anti").drop("__on", "__at")
-    every = looked_up(points, F.explode(F.array(*[F.lit(x) for x in levels])))
-    return met(every, spread, "inner").drop(*extra).unionByName(rest, allowMissingColumns=True)
+        rest = met(rest, F.lit(level), "left_anti")
+    return every.unionByName(rest, allowMissingColumns=True)
 
 
 def interval_join(points: DataFrame, value: str, intervals: DataFrame, lower: str, upper: str, width: float, keep_missing: bool = False) -> DataFrame:
@@ -103,14 +155,16 @@ def group_interval_join(points: DataFrame, keys: list[str], value: str, interval
     """Per key, rows with the interval [lower, upper) that their value lies in.
 
     A key that has no intervals drops its rows, also with ``keep_missing``; otherwise that keeps rows without an
-    interval, all of whose outputs are null. With ``width`` intervals are binned, for keys with many of them.
+    interval, all of whose outputs are null. Intervals of a key are binned by their lengths, or by ``width``; other
+    types than numbers, timestamps and dates have no lengths and are compared with all intervals of their key.
     """
     real = intervals.filter(F.col(lower) < F.col(upper))
     pairs = _pairs(keys, interval_keys)
     if keep_missing:
         points = exists_in(points, keys, intervals.select(*interval_keys).distinct(), interval_keys)
     how = "left" if keep_missing else "inner"
-    if width is not None:
+    types = [points.schema[value].dataType, real.schema[lower].dataType, real.schema[upper].dataType]
+    if any(all(isinstance(t, kind) for t in types) for kind in (T.NumericType, T.TimestampType, T.DateType)):
         return _binned(points, value, real, lower, upper, width, pairs, False, how)
     return points.join(real, _equal(points, real, pairs, False) & (points[value] >= real[lower]) & (points[value] < real[upper]), how)
 

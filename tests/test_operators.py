@@ -63,6 +63,31 @@ def test_half_open_keyed_intervals(spark):
         assert kept == [("k", 0, "a"), ("k", 10, "b"), ("k", 20, None)]
 
 
+def test_many_keyed_intervals_meet_in_bins(spark):
+    """A key with many intervals has them in bins of their lengths; keys with few, and endless intervals, in one."""
+    endless = float("inf")
+    data = [("k", float(i), i + 2.0) for i in range(60)] + [("k", 10.0, 50.5), ("k", 58.0, endless), ("one", -endless, endless), ("one", 3.0, 3.0)]
+    bands = spark.createDataFrame(data, "k string, lo double, hi double")
+    points = spark.createDataFrame([("k", v / 4) for v in range(-4, 260)] + [("k", endless), ("k", None), ("one", 7.0), ("one", 3.0), ("other", 5.0)], "pk string, v double")
+    want = sorted(((p, v, lo) for p, v in points.collect() for k, lo, hi in data if p == k and v is not None and lo <= v < hi), key=repr)
+    found = joins.group_interval_join(points, ["pk"], "v", bands, ["k"], "lo", "hi")
+    assert "__bin" in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found.select("pk", "v", "lo")) == want
+    kept = joins.group_interval_join(points, ["pk"], "v", bands, ["k"], "lo", "hi", keep_missing=True)
+    assert rows(kept.filter("lo is not null").select("pk", "v", "lo")) == want
+    assert rows(kept.filter("lo is null").select("pk", "v")) == rows(points.filter("pk = 'k' and (v is null or v < 0 or v = double('inf'))"))
+
+
+def test_keyed_intervals_of_time(spark):
+    for kind, text in (("timestamp", "2024-01-01 00:00:{:02}"), ("date", "2024-01-{:02}"), ("string", "{:02}")):
+        at = lambda rows, names: spark.createDataFrame([("k", *[text.format(i) for i in r]) for r in rows], "k string, " + ", ".join(f"{n} string" for n in names)).selectExpr("k", *[f"cast({n} as {kind}) {n}" for n in names])  # noqa: E731, B023
+        bands = at([(i, i + 2) for i in range(1, 20)] + [(5, 15)], ["lo", "hi"])
+        points = at([(i,) for i in range(1, 25)], ["v"]).withColumnRenamed("k", "pk")
+        same = bands.join(points, (F.col("pk") == F.col("k")) & (F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi")))
+        found = joins.group_interval_join(points, ["pk"], "v", bands, ["k"], "lo", "hi")
+        assert rows(found.select("v", "lo", "hi")) == rows(same.select("v", "lo", "hi"))
+
+
 def test_duplicate_keys(spark):
     left = spark.createDataFrame([(1, "l1"), (1, "l2"), (2, "l3")], "a int, x string")
     right = spark.createDataFrame([(1, "r1"), (1, "r2"), (1, "r3")], "b int, y string")
