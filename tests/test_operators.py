@@ -78,6 +78,28 @@ def test_many_keyed_intervals_meet_in_bins(spark):
     assert rows(kept.filter("lo is null").select("pk", "v")) == rows(points.filter("pk = 'k' and (v is null or v < 0 or v = double('inf'))"))
 
 
+@pytest.fixture
+def unasked(spark):
+    """Joins that nobody hinted at aren't broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_intervals_bring_no_values_together(spark, unasked):
+    """Few intervals go to the values, on one level or several, as a value of many rows would fill a task."""
+    points = spark.range(50).selectExpr("cast(id as double) v")
+    for data in ([(1.0, 10.0), (11.0, 20.0)], [(1.0, 10.0), (21.0, 40.0)]):
+        bands = spark.createDataFrame(data, "lo double, hi double")
+        found = joins.interval_join(points, "v", bands, "lo", "hi", 10.0)
+        assert "hashpartitioning" not in plan(found)
+        assert rows(found) == sorted(((float(v), lo, hi) for v in range(50) for lo, hi in data if lo <= v <= hi), key=repr)
+
+
 def test_keyed_intervals_of_time(spark):
     for kind, text in (("timestamp", "2024-01-01 00:00:{:02}"), ("date", "2024-01-{:02}"), ("string", "{:02}")):
         at = lambda rows, names: spark.createDataFrame([("k", *[text.format(i) for i in r]) for r in rows], "k string, " + ", ".join(f"{n} string" for n in names)).selectExpr("k", *[f"cast({n} as {kind}) {n}" for n in names])  # noqa: E731, B023
