@@ -120,8 +120,7 @@ def _binned(points: DataFrame, value: str, intervals: DataFrame, lower: str, upp
     if by_key is not None and levels[-1] == WHOLE:
         held = F.array_contains("__levels", F.col("__level"))
         placed = with_levels(placed, [b for _, b in keys]).withColumn("__level", F.when(held, F.col("__level")).otherwise(WHOLE)).drop("__levels")
-    spread = placed.withColumn("__bin", F.explode(F.sequence(*bins(placed))))
-    spread = _hinted(spread, size) if keys or how == "inner" else spread
+    spread = _hinted(placed.withColumn("__bin", F.explode(F.sequence(*bins(placed)))), size)
 
     def met(at: DataFrame, on: Column, way: str) -> DataFrame:
         at = at.withColumn("__on", on)

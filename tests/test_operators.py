@@ -100,6 +100,16 @@ def test_few_intervals_bring_no_values_together(spark, unasked):
         assert rows(found) == sorted(((float(v), lo, hi) for v in range(50) for lo, hi in data if lo <= v <= hi), key=repr)
 
 
+def test_values_kept_without_interval_stay_where_they_are(spark, unasked):
+    points = spark.range(50).selectExpr("cast(id as double) v")
+    for data in ([(1.0, 10.0), (11.0, 20.0)], [(1.0, 10.0), (21.0, 40.0)]):
+        bands = spark.createDataFrame(data, "lo double, hi double")
+        kept = joins.interval_join(points, "v", bands, "lo", "hi", 10.0, keep_missing=True)
+        assert "hashpartitioning" not in plan(kept)
+        met = [(float(v), lo, hi) for v in range(50) for lo, hi in data if lo <= v <= hi]
+        assert rows(kept) == sorted(met + [(float(v), None, None) for v in range(50) if float(v) not in {m[0] for m in met}], key=repr)
+
+
 def test_keyed_intervals_of_time(spark):
     for kind, text in (("timestamp", "2024-01-01 00:00:{:02}"), ("date", "2024-01-{:02}"), ("string", "{:02}")):
         at = lambda rows, names: spark.createDataFrame([("k", *[text.format(i) for i in r]) for r in rows], "k string, " + ", ".join(f"{n} string" for n in names)).selectExpr("k", *[f"cast({n} as {kind}) {n}" for n in names])  # noqa: E731, B023
