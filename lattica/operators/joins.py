@@ -50,6 +50,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def known_distinct(df: DataFrame, keys: list[str]) -> bool:
+    """Whether the optimizer knows, as after a group-by, that no two rows have the same keys."""
+    return not df.select(*keys)._jdf.queryExecution().optimizedPlan().distinctKeys().isEmpty()
+
+
 def with_state(left: DataFrame, left_keys: list[str], state: DataFrame, state_keys: list[str], keep_missing: bool = False) -> DataFrame:
     """Join against a state that every task holds: all matches; broadcast while its estimated size allows."""
     small = estimated_bytes(state) <= BROADCAST_BYTES
@@ -59,7 +64,10 @@ def with_state(left: DataFrame, left_keys: list[str], state: DataFrame, state_ke
 
 def _number(df: DataFrame, c: str) -> Column:
     """A column as a double that keeps its order: numbers, seconds or days."""
-    return (F.unix_date(df[c]) if isinstance(df.schema[c].dataType, T.DateType) else df[c]).cast("double")
+    kind, at = df.schema[c].dataType, df[c]
+    if isinstance(kind, T.TimestampNTZType):  # by its parts: an hour that a zone skips would be out of order
+        return F.unix_date(at.cast("date")) * 86_400.0 + F.hour(at) * 3600 + F.minute(at) * 60 + F.date_part(F.lit("second"), at).cast("double")
+    return (F.unix_date(at) if isinstance(kind, T.DateType) else at).cast("double")
 
 
 def _row_bytes(df: DataFrame, extra: int = 0) -> Column:
@@ -154,8 +162,8 @@ def group_interval_join(points: DataFrame, keys: list[str], value: str, interval
     """Per key, rows with the interval [lower, upper) that their value lies in.
 
     A key that has no intervals drops its rows, also with ``keep_missing``; otherwise that keeps rows without an
-    interval, all of whose outputs are null. Intervals of a key are binned by their lengths, or by ``width``; other
-    types than numbers, timestamps and dates have no lengths and are compared with all intervals of their key.
+    interval, all of whose outputs are null. Intervals of a key are binned by their lengths, or by ``width``; not
+    where a key is known to have only one, nor other types than numbers, timestamps and dates, which have no lengths.
     """
     real = intervals.filter(F.col(lower) < F.col(upper))
     pairs = _pairs(keys, interval_keys)
@@ -163,7 +171,8 @@ def group_interval_join(points: DataFrame, keys: list[str], value: str, interval
         points = exists_in(points, keys, intervals.select(*interval_keys).distinct(), interval_keys)
     how = "left" if keep_missing else "inner"
     types = [points.schema[value].dataType, real.schema[lower].dataType, real.schema[upper].dataType]
-    if any(all(isinstance(t, kind) for t in types) for kind in (T.NumericType, T.TimestampType, T.DateType)):
+    lengths = any(all(isinstance(t, kind) for t in types) for kind in (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))
+    if width is not None or (lengths and not known_distinct(real, interval_keys)):
         return _binned(points, value, real, lower, upper, width, pairs, False, how)
     return points.join(real, _equal(points, real, pairs, False) & (points[value] >= real[lower]) & (points[value] < real[upper]), how)
 

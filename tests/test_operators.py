@@ -111,15 +111,23 @@ def test_values_kept_without_interval_stay_where_they_are(spark, unasked):
 
 
 def test_keyed_intervals_of_time(spark):
-    for kind, text in (("timestamp", "2024-01-01 00:00:{:02}"), ("date", "2024-01-{:02}"), ("string", "{:02}")):
+    for kind, text in (("timestamp", "2024-01-01 00:00:{:02}"), ("timestamp_ntz", "1969-12-31 23:{:02}:59.999999"), ("date", "2024-01-{:02}"), ("string", "{:02}")):
         at = lambda rows, names: spark.createDataFrame([("k", *[text.format(i) for i in r]) for r in rows], "k string, " + ", ".join(f"{n} string" for n in names)).selectExpr("k", *[f"cast({n} as {kind}) {n}" for n in names])  # noqa: E731, B023
         bands = at([(i, i + 2) for i in range(1, 20)] + [(5, 15)], ["lo", "hi"])
         points = at([(i,) for i in range(1, 25)], ["v"]).withColumnRenamed("k", "pk")
         same = bands.join(points, (F.col("pk") == F.col("k")) & (F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi")))
         found = joins.group_interval_join(points, ["pk"], "v", bands, ["k"], "lo", "hi")
+        assert ("__bin" in plan(found)) == (kind != "string")
         assert rows(found.select("v", "lo", "hi")) == rows(same.select("v", "lo", "hi"))
 
 
+def test_known_distinct(spark):
+    df = spark.range(9).selectExpr("id % 3 k", "id v")
+    assert joins.known_distinct(df.groupBy(F.col("k").alias("g")).agg(F.min("v").alias("lo")).filter("lo < 2"), ["g"])
+    assert not joins.known_distinct(df.groupBy("k", "v").count(), ["k"])
+    assert not joins.known_distinct(df, ["k"])
+
+
 def test_duplicate_keys(spark):
     left = spark.createDataFrame([(1, "l1"), (1, "l2"), (2, "l3")], "a int, x string")
     right = spark.createDataFrame([(1, "r1"), (1, "r2"), (1, "r3")], "b int, y string")
